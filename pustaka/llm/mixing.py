@@ -115,9 +115,10 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = sizes.filter("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("available"))
     t = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     j = cut(t.join(have, "source").filter("available > 0 AND target_share > 0 AND max_repeats > 0"), "targets")
-    whole = j.agg(F.sum("target_share").alias("all"), F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("unit"))
+    whole = j.agg(F.sum("target_share").alias("all"), F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("unit")).first()
     # unit is the total for shares that sum to 1; it needs no scaling, as shares only count against each other
-    return j.join(F.broadcast(whole)).select("source", (F.col("target_share") / F.col("all")).alias("target_share"), "max_repeats", "available", F.least(F.col("unit") * F.col("target_share") / F.col("available"), F.col("max_repeats").cast("double")).alias("per_doc"))
+    per_doc = F.least(F.lit(whole["unit"]) * F.col("target_share") / F.col("available"), F.col("max_repeats").cast("double"))
+    return j.select("source", (F.col("target_share") / F.lit(whole["all"])).alias("target_share"), "max_repeats", "available", per_doc.alias("per_doc"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
@@ -140,6 +141,6 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per = mixed.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("copies") > 0).alias("n_used"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens")
     )
-    total = per.agg(F.sum("mixed_tokens").alias("total"))
-    j = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").join(F.broadcast(total))
+    total = per.agg(F.sum("mixed_tokens").alias("total")).first()["total"]
+    j = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").withColumn("total", F.lit(total).cast("double"))
     return j.select("source", "target_share", F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.col("total"), 6).alias("actual_share"), "n_docs", "n_used", "most_copies", "max_repeats", "mixed_tokens")
