@@ -158,6 +158,13 @@ def noise(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> Data
     return reduce(DataFrame.union, (page, hyphen, misread.distinct()))
 
 
+def plain_text(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
+    """(ocr_id, text): each text without the lines of the page and with broken words joined; line feeds between its lines stay."""
+    c = content(classify_lines(lines_of(df, row_id, text, ("unit_key", "source", "paper", "page"))))
+    stretch = F.when(F.col("broken"), F.regexp_replace("line", "[" + HYPHENS + "]$", "")).otherwise(F.concat("line", F.lit("\n")))
+    return c.groupBy("ocr_id").agg(F.array_sort(F.collect_list(F.struct("line_no", stretch.alias("s")))).alias("l")).select("ocr_id", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("text"))
+
+
 def _apply(line: Column, fixes: Column) -> Column:
     """A line with its misread words replaced, in the case of their first letter."""
 
