@@ -34,9 +34,9 @@ def in_ranges(rows: DataFrame, value: str, starts: DataFrame, start: str, label:
     both = rows.select(F.col(value).alias("v"), F.struct(*rows.columns).alias("row"), F.lit(None).cast(starts.schema[label].dataType).alias("lab"), F.lit(1).alias("kind")).unionByName(
         starts.select(F.col(start).alias("v"), F.lit(None).cast(rows.select(F.struct(*rows.columns)).schema[0].dataType).alias("row"), F.col(label).alias("lab"), F.lit(0).alias("kind"))
     )
-    both = both.withColumn("bucket", F.floor(F.col("v") / 4096))
+    both = both.withColumn("bucket", F.floor(F.col("v") / (1 << 20)))
     own = F.last("lab", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    ends = starts.groupBy(F.floor(F.col(start) / 4096).alias("bucket")).agg(F.max_by(label, start).alias("end"))
+    ends = starts.groupBy(F.floor(F.col(start) / (1 << 20)).alias("bucket")).agg(F.max_by(label, start).alias("end"))
     buckets = both.select("bucket").distinct().join(ends, "bucket", "left")
     before = buckets.withColumn("before", F.last("end", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "before")
     found = both.withColumn("own", own).filter("kind = 1").join(before, "bucket")
