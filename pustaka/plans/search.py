@@ -38,7 +38,7 @@ def _search(spark: SparkSession, sf_dir: str, **request) -> DataFrame:
 
 
 def search_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, text="judicial water")
+    return _search(spark, sf_dir, text="migrant famil")
 
 
 def search_prefix_and_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def search_name_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, text="discuss committee", page=2)
+    return _search(spark, sf_dir, text="discuss", page=2)
 
 
 def index_vs_scan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +121,11 @@ SELECT base, topper, paper, score, n_hits, place::INT AS place FROM o WHERE plac
 )
 
 ORACLE = {
-    "search_all_words": _found(_start("lc", "judicial") + " AND " + _start("lc", "water")),
+    "search_all_words": _found(_start("lc", "migrant") + " AND " + _start("lc", "famil")),
     "search_prefix_and_facet": _found(_start("lc", "feder") + " AND " + _start("lc", "grant"), facet="AND paper = 'GS2'"),
     "search_exact_phrase": _found(r"contains(' ' || array_to_string(regexp_extract_all(lc, '[\p{L}\p{M}\p{N}]+'), ' '), ' two sides of one coin')"),
     "search_name_text_split": _SPLIT,
-    "search_second_page": _found(_start("lc", "discuss") + " AND " + _start("lc", "committee"), page=2),
+    "search_second_page": _found(_start("lc", "discuss"), page=2),
     "inverted_index": f"""WITH {_TOKENS}, g AS (SELECT token, doc_id, doc_id - lag(doc_id) OVER (PARTITION BY token ORDER BY doc_id) AS gap FROM p)
 SELECT token, count(*) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc, coalesce(sum(gap), 0)::BIGINT AS gap_sum FROM g GROUP BY token""",
     "index_bucket_sizes": f"WITH {_TOKENS}, t AS (SELECT token, count(*) AS n, {_BUCKET} AS bucket FROM p GROUP BY token) SELECT bucket, count(*) AS n_tokens, sum(n)::BIGINT AS n_postings FROM t GROUP BY bucket",
