@@ -131,43 +131,34 @@ def stretches(text: str) -> list[list[str]]:
     Words of another script are passed over where fewer than LEAST_WORDS of them stand in a row.
     """
     clean = _NOTES.sub(" ", text)
-    tokens: list[tuple[str, str, int]] = []
-    sentence, start = 0, 0
+    sentences, start = [], 0
     for m in _END.finditer(clean):
-        tokens += [(w, script(w), sentence) for w in _WORD.findall(clean[start : m.start()])]
-        sentence, start = sentence + 1, m.end()
-    tokens += [(w, script(w), sentence) for w in _WORD.findall(clean[start:])]
-    runs: list[list[tuple[str, str, int]]] = []
-    for t in tokens:
-        if runs and runs[-1][0][1] == t[1]:
-            runs[-1].append(t)
-        else:
-            runs.append([t])
-    long: list[list[tuple[str, str, int]]] = []
-    for i, r in enumerate(runs):
-        # few words of another script do not part what lies around them
-        same = long and long[-1][0][1] == r[0][1]
-        if same:
-            long[-1].extend(r)
-        elif len(r) >= LEAST_WORDS or sum(len(x) for x in runs[i : i + 3 : 2] if x[0][1] == r[0][1]) >= LEAST_WORDS:
-            long.append(list(r))
-    out: list[list[str]] = []
-    for r in long:
-        pieces: list[list[str]] = []
-        last = None
-        for w, _, k in r:
-            if k != last:
-                pieces.append([])
-                last = k
-            pieces[-1].append(w)
-        merged: list[list[str]] = []
-        for p in pieces:
-            if merged and (len(p) < LEAST_WORDS or len(merged[-1]) < LEAST_WORDS):
-                merged[-1] = merged[-1] + p
+        sentences.append(_WORD.findall(clean[start : m.start()]))
+        start = m.end()
+    sentences.append(_WORD.findall(clean[start:]))
+    out: list[tuple[str, list[str]]] = []
+    for words in sentences:
+        runs: list[tuple[str, list[str]]] = []
+        count: dict[str, int] = {}
+        for w in words:
+            s = script(w)
+            count[s] = count.get(s, 0) + 1
+            if runs and runs[-1][0] == s:
+                runs[-1][1].append(w)
             else:
-                merged.append(p)
-        out.extend(merged)
-    return out
+                runs.append((s, [w]))
+        main = max(count, key=lambda s: count[s]) if count else ""
+        first = len(out)
+        for s, r in runs:
+            if s != main and len(r) < LEAST_WORDS:
+                continue
+            if len(out) > first and out[-1][0] == s:
+                out[-1][1].extend(r)
+            elif out and out[-1][0] == s and (len(r) < LEAST_WORDS or len(out[-1][1]) < LEAST_WORDS):
+                out[-1][1].extend(r)
+            else:
+                out.append((s, list(r)))
+    return [r for _, r in out]
 
 
 def segments(text: str, model: Model) -> list[tuple[str, float, int]]:

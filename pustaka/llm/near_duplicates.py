@@ -33,7 +33,7 @@ SKETCH_BITS, MARK_BITS = 22, 24
 #: A word in at most so many texts is rare.
 RARE = 64
 #: Random signature orders, the expected size at which a region needs no more depth, and the greatest depth.
-TREES, REGION, DEPTH = 8, 4.0, 24
+TREES, REGION, DEPTH = 16, 64.0, 24
 _BLOCKS = 16
 
 

@@ -5,8 +5,8 @@ for `m`, moves it by the same difference in every word. Rare words are joined in
 lies one such difference away, the matches are verified at the place of the misreading, and each rare word is corrected
 to its most frequent match. All counts are taken over the whole corpus.
 
-Lines. A page number is recognised by its form. A running header is a line that comes back on several questions of one
-booklet; with digits, the publisher's name and the paper taken out, headers of different booklets are one form, and a
+Lines. A page number is recognised by its form. A running header is a line that comes back beside different
+questions of one booklet; with digits, the publisher's name and the paper taken out, headers of different booklets are one form, and a
 form that comes back in its booklets on the whole is a header wherever it stands. Broken words are joined where the
 next line of the question goes on; the joined word must not be rarer than the same word with a hyphen inside a line.
 """
@@ -63,8 +63,14 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     pageno = F.col("line").rlike(_PAGE) & (~bare | F.col("page").isNull() | (number == F.col("page")) | (F.col("line_no") < n_lines))
     may = (F.length(_words_only(F.col("line"))) >= 6) & ~F.col("line").rlike(_NOTE) & ~F.col("line").rlike(r"[.?!।),;:]\s*$") & (n_lines > 1)
     tagged = lines.withColumn("pageno", pageno & (n_lines > 1)).withColumn("may", may)
+    # of a question asked twice in a booklet every line comes back, so what counts is how many different longest other lines a line has
+    whole = Window.partitionBy("ocr_id")
+    size = F.struct(F.length("line").alias("n"), "line")
+    tagged = tagged.withColumn("first", F.max(F.when(~F.col("pageno"), size)).over(whole))
+    tagged = tagged.withColumn("second", F.max(F.when(~F.col("pageno") & (F.col("line") != F.col("first.line")), size)).over(whole))
+    tagged = tagged.withColumn("beside", F.xxhash64(F.when(F.col("line") == F.col("first.line"), F.col("second.line")).otherwise(F.col("first.line")))).drop("first", "second")
     tagged = cut(tagged.withColumn("form", F.when(F.col("may"), _form(F.col("line"), F.col("source"), F.col("unit_key"), F.col("paper")))).drop("may"), "lines")
-    per_unit = tagged.filter("form IS NOT NULL AND NOT pageno AND unit_key IS NOT NULL").groupBy("form", "unit_key").agg(F.count_distinct("ocr_id").alias("rows"))
+    per_unit = tagged.filter("form IS NOT NULL AND NOT pageno AND unit_key IS NOT NULL").groupBy("form", "unit_key").agg(F.count_distinct("beside").alias("rows"))
     forms = per_unit.groupBy("form").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("units"))
     heads = forms.filter((F.col("rows") >= RETURNS * F.col("units")) & (F.col("rows") - F.col("units") >= LEAST_RETURNS) & (F.length("form") >= 6)).select("form", F.lit(True).alias("known"))
     # a misread header is one or two letters away from a header of its own booklet
