@@ -14,12 +14,12 @@ def first_stated(value: str, order: str) -> Column:
 
 def one_or_mixed(value: str) -> Column:
     """The only value of a group, or 'mixed'; null if it has none."""
-    return F.when(F.count_distinct(value) > 1, "mixed").otherwise(F.min(value))
+    return F.when(F.min(value) != F.max(value), "mixed").otherwise(F.min(value))
 
 
 def unanimous(value: str) -> Column:
     """The value all members that have one agree on, else null."""
-    return F.when(F.count_distinct(value) == 1, F.min(value))
+    return F.when(F.min(value) == F.max(value), F.min(value))
 
 
 def copies(rows: DataFrame) -> DataFrame:
