@@ -37,15 +37,24 @@ _NOTE = r"(?i)^[\s\[(]*(?:answer in\s*)?(?:\p{Nd}{1,4}\s*(?:words?|marks?|m)?[\s
 
 
 def lines_of(df: DataFrame, row_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(ocr_id, line_no, line, *keep): the lines of each text, numbered from 1."""
-    rows = df.select(F.col(row_id).cast("long").alias("ocr_id"), F.col(text).alias("t"), *keep).filter(F.col("t").isNotNull())
-    return rows.select("ocr_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line"), *keep).withColumn("line_no", F.col("line_no") + 1)
+    """(ocr_id, line_no, line, n_lines, beside, *keep): the lines of each text, numbered from 1; `beside` is a hash of the longest other
+    line, of those that can be no header if there is one."""
+    rows = df.select(F.col(row_id).cast("long").alias("ocr_id"), F.split(F.col(text), "\n").alias("ls"), *keep).filter(F.col("ls").isNotNull())
+    by_length = F.array_sort(F.transform(F.filter(F.array_distinct("ls"), lambda x: ~x.rlike(_PAGE)), lambda x: F.struct(_may_be_header(x).alias("may"), (-F.length(x)).alias("n"), x.alias("line"))))
+    two = rows.withColumn("longest", F.slice(by_length, 1, 2)).withColumn("first", F.get("longest", F.lit(0))["line"]).withColumn("second", F.get("longest", F.lit(1))["line"])
+    lines = two.select("ocr_id", F.size("ls").alias("n_lines"), "first", "second", F.posexplode("ls").alias("line_no", "line"), *keep).withColumn("line_no", F.col("line_no") + 1)
+    return lines.withColumn("beside", F.xxhash64(F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")))).drop("first", "second")
 
 
 def _words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}]+", " "))
 
 
+def _may_be_header(line: Column) -> Column:
+    """Some letters, no note on words or marks, and no end of a sentence or clause."""
+    return (F.length(_words_only(line)) >= 6) & ~line.rlike(_NOTE) & ~line.rlike(r"[.?!।),;:]\s*$")
+
+
 def _form(line: Column, source: Column, unit: Column, paper: Column) -> Column:
     """A line with digits, the publisher's name, the paper and single letters taken out."""
     x = F.concat(F.lit(" "), _words_only(line), F.lit(" "))
@@ -56,19 +65,14 @@ def _form(line: Column, source: Column, unit: Column, paper: Column) -> Column:
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """Adds `kind`: header, pageno or null. lines has ocr_id, line_no, line, unit_key, source, paper, page."""
-    n_lines = F.max("line_no").over(Window.partitionBy("ocr_id"))
+    """Adds `kind`: header, pageno or null, to what lines_of() gives with unit_key, source, paper and page."""
+    n_lines = F.col("n_lines")
     bare = F.trim(F.col("line")).rlike(r"^\p{Nd}{1,4}$")
     number = F.translate(F.trim(F.col("line")), "०१२३४५६७८९০১২৩৪৫৬৭৮৯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 3).try_cast("int")
     pageno = F.col("line").rlike(_PAGE) & (~bare | F.col("page").isNull() | (number == F.col("page")) | (F.col("line_no") < n_lines))
-    may = (F.length(_words_only(F.col("line"))) >= 6) & ~F.col("line").rlike(_NOTE) & ~F.col("line").rlike(r"[.?!।),;:]\s*$") & (n_lines > 1)
+    may = _may_be_header(F.col("line")) & (n_lines > 1)
     tagged = lines.withColumn("pageno", pageno & (n_lines > 1)).withColumn("may", may)
     # of a question asked twice in a booklet every line comes back, so what counts is how many different longest other lines a line has
-    whole = Window.partitionBy("ocr_id")
-    size = F.struct(F.length("line").alias("n"), "line")
-    tagged = tagged.withColumn("first", F.max(F.when(~F.col("pageno"), size)).over(whole))
-    tagged = tagged.withColumn("second", F.max(F.when(~F.col("pageno") & (F.col("line") != F.col("first.line")), size)).over(whole))
-    tagged = tagged.withColumn("beside", F.xxhash64(F.when(F.col("line") == F.col("first.line"), F.col("second.line")).otherwise(F.col("first.line")))).drop("first", "second")
     tagged = cut(tagged.withColumn("form", F.when(F.col("may"), _form(F.col("line"), F.col("source"), F.col("unit_key"), F.col("paper")))).drop("may"), "lines")
     per_unit = tagged.filter("form IS NOT NULL AND NOT pageno AND unit_key IS NOT NULL").groupBy("form", "unit_key").agg(F.count_distinct("beside").alias("rows"))
     forms = per_unit.groupBy("form").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("units"))
@@ -90,19 +94,19 @@ def content(lines: DataFrame) -> DataFrame:
     """The lines that belong to the question, each with the next one, whether its last word is broken, and whether its first is a rest."""
     w = Window.partitionBy("ocr_id").orderBy("line_no")
     c = lines.filter("kind IS NULL").withColumn("line", F.regexp_replace("line", r"\s+$", ""))
-    c = c.withColumn("next", F.lead("line").over(w))
+    c = c.withColumn("next", F.lead("line").over(w)).withColumn("next_no", F.lead("line_no").over(w))
     broken = F.col("line").rlike(r"[\p{L}\p{M}][" + HYPHENS + "]$") & F.coalesce(F.col("next").rlike(r"^\s*\p{L}"), F.lit(False))
     return c.withColumn("broken", broken).withColumn("rest", F.coalesce(F.lag("broken").over(w), F.lit(False)))
 
 
 def words_of(lines: DataFrame) -> DataFrame:
-    """(ocr_id, line_no, head_len, word): the words of the content lines, a broken one joined and given to the line it begins in."""
+    """(ocr_id, line_no, next_no, head_len, word): the words of the content lines, a broken one joined and given to the line it begins in."""
     tokens = F.regexp_extract_all(F.col("line"), F.lit(f"({WORD})"), 1)
     first_of_next = F.coalesce(F.regexp_extract(F.col("next"), f"^\\s*({WORD})", 1), F.lit(""))
     c = lines.withColumn("w", F.when(F.col("rest"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens))
     last = F.when(F.col("broken") & (F.size("w") > 0), F.array(F.struct(F.length(F.element_at("w", -1)).alias("head_len"), F.concat(F.element_at("w", -1), first_of_next).alias("word")))).otherwise(F.array().cast("array<struct<head_len:int,word:string>>"))
     whole = F.transform(F.when(F.col("broken"), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")), lambda x: F.struct(F.lit(0).alias("head_len"), x.alias("word")))
-    return c.select("ocr_id", "line_no", F.explode(F.concat(whole, last)).alias("x")).select("ocr_id", "line_no", "x.head_len", _core(F.col("x.word")).alias("word")).filter("word <> ''")
+    return c.select("ocr_id", "line_no", "next_no", F.explode(F.concat(whole, last)).alias("x")).select("ocr_id", "line_no", "next_no", "x.head_len", _core(F.col("x.word")).alias("word")).filter("word <> ''")
 
 
 def anagram_hash(word: Column) -> Column:
@@ -115,9 +119,14 @@ def _hash(s: str) -> int:
     return sum((ord(c) if ord(c) < 128 else ord(c) % 128 + 128) ** 5 for c in s)
 
 
-def corrections(words: DataFrame) -> DataFrame:
+def vocabulary(words: DataFrame) -> DataFrame:
+    """(word, n, whole, h): how often each word stands, how often of these unbroken, and its hash."""
+    v = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("head_len") == 0).alias("whole"))
+    return cut(v.filter(F.length("word") >= 3).withColumn("h", anagram_hash(F.col("word"))), "vocabulary")
+
+
+def corrections(vocab: DataFrame) -> DataFrame:
     """(word, right, at, n): for each misread word its correction, and where its misreading begins."""
-    vocab = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.length("word") >= 3).withColumn("h", anagram_hash(F.col("word"))), "vocabulary")
     frequent = vocab.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{Ll}+$") & (F.length("word") >= 4)).select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("h").alias("key"))
     odd = [F.struct(F.lit(a).alias("read"), F.lit(b).alias("print"), F.lit(_hash(b) - _hash(a)).cast("long").alias("d")) for a, b in MISREAD]
     has = F.filter(F.array(*odd), lambda o: F.contains(F.col("word"), o["read"]))
@@ -141,10 +150,11 @@ def _parts(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame,
     real = c.filter("broken").select(
         "ocr_id", "line_no", F.lower(F.concat(F.regexp_extract("line", r"(\p{L}+)[" + HYPHENS + "]$", 1), F.lit("-"), F.regexp_extract("next", r"^\s*(\p{L}+)", 1))).alias("hyphened")
     ).join(inside, "hyphened").withColumn("joined", F.replace("hyphened", F.lit("-"), F.lit("")))
-    known = w.filter("head_len = 0").groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    vocab = vocabulary(w)
+    known = vocab.select("word", F.col("whole").alias("k"))
     real = real.join(known, real["joined"] == known["word"], "left").filter(F.col("n") > F.coalesce("k", F.lit(0))).select("ocr_id", "line_no", F.lit(True).alias("compound"))
     c = c.join(real, ["ocr_id", "line_no"], "left").withColumn("compound", F.coalesce("compound", F.lit(False)))
-    bad = w.join(corrections(w), "word")
+    bad = w.join(cut(corrections(vocab), "corrections"), "word")
     return lines, cut(c, "content"), cut(bad, "misread")
 
 
@@ -159,8 +169,7 @@ def noise(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> Data
     lines, c, bad = _parts(df, row_id, text)
     page = lines.filter("kind IS NOT NULL").select("ocr_id", "line_no", "kind")
     hyphen = c.filter("broken AND NOT compound").select("ocr_id", "line_no", F.lit("hyphen").alias("kind"))
-    following = c.select("ocr_id", "line_no", F.lead("line_no").over(Window.partitionBy("ocr_id").orderBy("line_no")).alias("next_no"))
-    misread = bad.join(following, ["ocr_id", "line_no"]).select("ocr_id", F.when((F.col("head_len") > 0) & (F.col("at") > F.col("head_len")), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"))
+    misread = bad.select("ocr_id", F.when((F.col("head_len") > 0) & (F.col("at") > F.col("head_len")), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"))
     return reduce(DataFrame.union, (page, hyphen, misread.distinct()))
 
 
