@@ -82,15 +82,26 @@ class Model:
         fam = np.array([FAMILY_OF[g] for g in langs])
         lang = np.array(langs)
         sign = lambda a: np.where(a, 1.0, -1.0)
-        self.families = list(FAMILIES)
-        self.duels = [(a, b) for f in FAMILIES.values() for a, b in combinations(f, 2)]
+        self._set(None)
         w = [fit_svm(x, sign(fam == f)) for f in self.families]
         for a, b in self.duels:
             rows = (lang == a) | (lang == b)
             w.append(fit_svm(x[rows], sign(lang[rows] == a)))
         self.weights = np.stack(w, 1)
+
+    def _set(self, weights: np.ndarray | None) -> None:
+        self.families = list(FAMILIES)
+        self.duels = [(a, b) for f in FAMILIES.values() for a, b in combinations(f, 2)]
+        self.weights = weights
         self.known: dict[str, np.ndarray] = {}
 
+    @classmethod
+    def of(cls, weights: np.ndarray) -> Model:
+        """The model that has these weights."""
+        out = cls.__new__(cls)
+        out._set(weights)
+        return out
+
     def words(self, words: list[str]) -> np.ndarray:
         """The mean of the words' scores in every classifier."""
         total = np.zeros(self.weights.shape[1], np.float32)
@@ -212,10 +223,10 @@ def language_segments(texts: DataFrame, model: Model, row_id: str = "ocr_id", te
     taken whole; repeated rows give their segments again; an empty table gives an empty result. One pass, no shuffle.
     """
     spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(model.weights)
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = Model.of(held.value)
         for b in batches:
             rows = [(i, k + 1, *s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for k, s in enumerate(segments(t, m))]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32())
