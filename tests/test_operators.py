@@ -57,6 +57,51 @@ def test_near_pairs_against_all_pairs(spark):
     assert all((min(r["norm"], r["host"]), max(r["norm"], r["host"])) in want for r in merged if r["norm"] != r["host"])
 
 
+def test_near_merge_keeps_questions_of_one_copy_apart(spark):
+    t = "river basin water policy reform coastal"
+    texts = [(t, 9, ["u1"]), (t + " districts", 5, ["u2", "u3"]), (t + " regions", 4, ["u3"]), (t + " towns", 3, ["u1"]), (t + " cities", 2, [""]), (t + " villages", 1, [""])]
+    df = spark.createDataFrame([("P", n, k) for n, k, _ in texts], "paper string, norm string, n_refs int")
+    refs = spark.createDataFrame([("P", n, u) for n, _, us in texts for u in us], "paper string, norm string, base string")
+    host = {r["norm"][len(t) + 1 :]: r["host"][len(t) + 1 :] for r in D.near_merged(df, refs).collect()}
+    # regions shares u3, which the first text gained from districts; towns shares u1 with the first text itself; no URL is no copy
+    assert host == {"": "", "districts": "", "regions": "regions", "towns": "towns", "cities": "", "villages": ""}
+
+
+def test_near_merge_takes_standalone_texts_left_by_containment(spark):
+    from conftest import DATA
+
+    from pustaka.plans import dedupe as P
+
+    texts, refs = P._standalone(spark, DATA)
+    kept = {(r["paper"], r["norm"]): r["n_refs"] for r in texts.collect()}
+    rows = P.source_rows(spark, DATA)
+    rows = rows.withColumn("norm", T.norm(F.col("question"))).withColumn("route", C.route(F.col("question"), F.col("marks"), F.col("words"), F.col("paper"))).collect()
+    alone = [r for r in rows if r["norm"] and r["route"] == "question"]
+    assert sum(kept.values()) == len(alone) < sum(r["norm"] != "" for r in rows)
+    assert {(r["paper"], r["norm"]) for r in refs.collect()} == set(kept)
+    copies = {}
+    for r in refs.collect():
+        copies.setdefault((r["paper"], r["norm"]), set()).add(r["base"])
+    n = near_loop({k: (v, copies[k]) for k, v in kept.items()})
+    assert {(r["paper"], r["host"]): r["n_members"] for r in P.near_duplicate_merge(spark, DATA).collect()} == n
+
+
+def near_loop(texts):
+    """The rule in a plain loop over all texts. texts: (paper, norm) -> (number of references, copies)."""
+    words = {k: [w for w in dict.fromkeys(k[1].split(" ")) if len(w) > 2 and w not in D.STOP and not w.isdigit()] for k in texts}
+    kept, copies, n = [], {}, {}
+    for k in sorted(texts, key=lambda k: (-texts[k][0], k[1])):
+        own = texts[k][1] - {""}
+        shared = [(-len(set(words[k]) & set(words[h])), i, h) for i, h in enumerate(kept) if h[0] == k[0]]
+        ok = (h for s, _, h in sorted(shared) if -10 * s >= 3 * len(words[k]) and not own & copies[h] and D.near_same(words[k], words[h]))
+        host = next(ok, k)
+        if host == k:
+            kept.append(k)
+        copies.setdefault(host, set()).update(own)
+        n[host] = n.get(host, 0) + 1
+    return n
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(0, k) for k in range(300, 420)] + [(k, k + 1) for k in range(500, 560)] + [(None, 3), (7, 7)]
