@@ -86,6 +86,20 @@ def test_near_merge_takes_standalone_texts_left_by_containment(spark):
     assert {(r["paper"], r["host"]): r["n_members"] for r in P.near_duplicate_merge(spark, DATA).collect()} == n
 
 
+def test_full_candidates_hold_all_near_pairs(spark):
+    from conftest import DATA
+
+    from pustaka.plans import dedupe as P
+
+    full = {(r["paper"], r["a"], r["b"]) for r in P.QUERIES["near_duplicate_candidates_full"](spark, DATA).collect()}
+    ts = sorted((r["paper"], r["norm"]) for r in P._texts(spark, DATA).collect())
+    words = {t: [w for w in dict.fromkeys(t[1].split(" ")) if len(w) > 2 and w not in D.STOP and not w.isdigit()] for t in ts}
+    share = lambda a, b: 10 * len(set(words[a]) & set(words[b])) >= 3 * min(len(words[a]), len(words[b]))
+    want = {(a[0], a[1], b[1]) for i, a in enumerate(ts) for b in ts[i + 1 :] if a[0] == b[0] and share(a, b) and (D.near_same(words[a], words[b]) or D.near_same(words[b], words[a]))}
+    assert len(want) > 60 and want <= full
+    assert {(r["paper"], r["a"], r["b"]) for r in D.near_pairs(P._texts(spark, DATA)).collect()} <= full
+
+
 def near_loop(texts):
     """The rule in a plain loop over all texts. texts: (paper, norm) -> (number of references, copies)."""
     words = {k: [w for w in dict.fromkeys(k[1].split(" ")) if len(w) > 2 and w not in D.STOP and not w.isdigit()] for k in texts}
