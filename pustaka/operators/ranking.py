@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rounds after which unique_slugs gives up.
+MOST_ROUNDS = 1000
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
     """The first k rows of each group. Spark keeps k rows of a group in each task before the groups are brought together."""
@@ -42,12 +45,20 @@ def within_capacity(df: DataFrame, by: list[str], order: list[str], size: str, c
 
 
 def unique_slugs(df: DataFrame, slug: str, order: str) -> DataFrame:
-    """Adds `unique_slug`: the slug for the first that has it, then slug-2, slug-3 and so on; a number that another slug has by
-    nature is passed over, in as many rounds as needed."""
-    taken = df.withColumn("k", F.row_number().over(Window.partitionBy(slug).orderBy(order)))
-    out = taken.withColumn("unique_slug", F.when(F.col("k") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("k"))))
-    natural = df.select(F.col(slug).alias("unique_slug")).distinct().withColumn("natural", F.lit(True))
-    for _ in range(8):
-        clash = out.join(natural, "unique_slug", "left").withColumn("bad", F.coalesce("natural", F.lit(False)) & (F.col("k") > 1))
-        out = clash.withColumn("unique_slug", F.when(F.col("bad"), F.concat("unique_slug", F.lit("-2"))).otherwise(F.col("unique_slug"))).drop("natural", "bad")
-    return out.drop("k")
+    """Adds `unique_slug`: the slug for the first that has it, then slug-2, slug-3 and so on; where that is another slug by nature or
+    was made for an earlier row, -2 is appended, until no two rows clash.
+
+    A row that keeps its natural slug always holds it. Of made slugs that are equal, the one made of the longest slug stays, then the
+    first in the order; each round lengthens the others, so the rounds end, and it fails if MOST_ROUNDS do not do.
+    """
+    from pustaka.session import cut
+
+    taken = df.withColumn("__k", F.row_number().over(Window.partitionBy(slug).orderBy(order)))
+    out = taken.withColumn("unique_slug", F.when(F.col("__k") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("__k"))))
+    first = [F.col("__k") > 1, F.desc(F.length(slug)), F.col(order)]
+    for _ in range(MOST_ROUNDS):
+        out = cut(out.withColumn("__at", F.row_number().over(Window.partitionBy("unique_slug").orderBy(*first))), "slugs")
+        if not out.filter("__at > 1").limit(1).count():
+            return out.drop("__k", "__at")
+        out = out.withColumn("unique_slug", F.when(F.col("__at") > 1, F.concat("unique_slug", F.lit("-2"))).otherwise(F.col("unique_slug"))).drop("__at")
+    raise RuntimeError("slugs did not become unique")

@@ -141,6 +141,14 @@ def test_unique_slugs(spark):
     assert got[1] == "a-b" and got[3] == "a-b-2" and len(set(got.values())) == 4
 
 
+def test_unique_slugs_counts_made_ones_as_taken(spark):
+    slugs = ["a", "a", "a-2", "a-2", "b", "b", *["b" + "-2" * k for k in range(1, 13)]]
+    df = spark.createDataFrame(list(enumerate(slugs)), "ord int, slug string")
+    got = {r["ord"]: r["unique_slug"] for r in R.unique_slugs(df, "slug", "ord").collect()}
+    assert len(set(got.values())) == len(slugs)
+    assert all(got[i] == s for i, s in enumerate(slugs) if s not in slugs[:i])
+
+
 def test_round_robin(spark):
     df = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, "C"), (6, "C")], "id int, host string")
     assert [r["id"] for r in R.round_robin(df, "host", "id").orderBy("slot").collect()] == [1, 4, 5, 2, 6, 3]
