@@ -86,6 +86,15 @@ def test_near_merge_takes_standalone_texts_left_by_containment(spark):
     assert {(r["paper"], r["host"]): r["n_members"] for r in P.near_duplicate_merge(spark, DATA).collect()} == n
 
 
+def test_near_pairs_with_many_misspelt_words(spark):
+    common = "river basin water policy reform coastal district climate"
+    rare = ["zubhakomo", "ghivelojis", "thepashuri", "dhenamokob", "virilobhas"]
+    a, b = f"{common} {' '.join(rare)}", f"{common} {' '.join(w[:-1] + 'x' for w in rare)}"
+    rows = [("P", t) for t in (a, b, *(f"{common} filler{k} other{k}" for k in "abcdef"))]
+    got = {(r["a"], r["b"]) for r in D.near_pairs(spark.createDataFrame(rows, "paper string, norm string")).collect()}
+    assert D.near_same(a.split(" "), b.split(" ")) and (min(a, b), max(a, b)) in got
+
+
 def test_full_candidates_hold_all_near_pairs(spark):
     from conftest import DATA
 
