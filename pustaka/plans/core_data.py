@@ -52,7 +52,7 @@ ORACLE = {
 UNION ALL SELECT record_id, 'question' FROM c WHERE bad_question UNION ALL SELECT record_id, 'url' FROM c WHERE bad_url""",
     "p1_loaded": _RECORDS
     + r"""SELECT record_id, nullif(trim(v[1]), '') AS topper, nullif(trim(v[2]), '') AS coaching, nullif(trim(v[3]), '') AS subject,
-  nullif(try_cast(regexp_extract(v[4], '^\s*([+-]?\d{1,9})', 1) AS INT), 0) AS page, nullif(trim(v[5]), '') AS question,
+  nullif(try_cast(regexp_extract(v[4], '^\s*([+-]?\d+)', 1) AS INT), 0) AS page, nullif(trim(v[5]), '') AS question,
   nullif(trim(v[6]), '') AS metadata, nullif(trim(v[7]), '') AS url
 FROM c WHERE NOT (bad_quote OR bad_count OR bad_question OR bad_url)""",
     "p7_found": _KEYED

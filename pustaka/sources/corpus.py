@@ -18,7 +18,7 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "coaching",
         "subject",
         T.paper_of(F.col("subject")).alias("paper"),
-        F.nullif(F.regexp_extract(T.blank(F.col("page_number")), r"^\s*([+-]?\d{1,9})", 1).try_cast("int"), F.lit(0)).alias("page"),
+        F.nullif(F.regexp_extract(T.blank(F.col("page_number")), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0)).alias("page"),
         "question",
         T.meta_marks(F.col("metadata")).alias("marks"),
         T.meta_words(F.col("metadata")).alias("words"),
@@ -32,5 +32,5 @@ def rows_sql() -> str:
     from pustaka.plans import sql as S
 
     return rf"""src AS (SELECT submission_id AS ord, topper, coaching, subject, {S.paper("subject")} AS paper,
-  nullif(try_cast(regexp_extract(coalesce(page_number, ''), '^\s*([+-]?\d{{1,9}})', 1) AS INT), 0) AS page, question,
+  nullif(try_cast(regexp_extract(coalesce(page_number, ''), '^\s*([+-]?\d+)', 1) AS INT), 0) AS page, question,
   {S.meta("metadata", "marks")} AS marks, {S.meta("metadata", "words")} AS words, {S.base("url")} AS base, prov FROM submissions)"""

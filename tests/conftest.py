@@ -10,6 +10,8 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 os.environ.setdefault("PUSTAKA_DRIVER_MEMORY", "4g")
+# small tables: compiling costs more than it saves
+os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-java-options '-XX:TieredStopAtLevel=1 -XX:+UseParallelGC' --conf spark.sql.codegen.wholeStage=false pyspark-shell")
 DATA = "/root/testdata/sf0.001"
 
 
