@@ -2,8 +2,9 @@
 
 A grouping genetic algorithm on islands. The documents are dealt into blocks of bounded size; each block is packed by
 several islands, each with a population of packings. A packing is a list of bins. Crossover puts whole well-filled bins
-of one parent into the other, drops the bins that hold a document twice, and puts the documents so displaced back by
-best fit; mutation empties the worst bins and does the same. Between rounds the best packing of each island moves to
+of one parent into the other, drops the bins that hold a document twice, exchanges the documents so displaced with those
+of the kept bins where that fills a bin better, and puts back what is left by best fit; mutation empties the worst bins and
+does the same. Between rounds the best packing of each island moves to
 the next island of its block. After the last round, bins that are still poorly filled are taken apart over all blocks
 and their documents dealt into new blocks, while the well-filled ones stay.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pustaka.session import cut
 
 #: Pieces in a block on average, islands of a block, rounds with migration between them, packings of an island, generations of a round.
-BLOCK, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 1500, 2, 2, 4, 6
+BLOCK, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 600, 2, 2, 4, 20
 #: Bins filled to less than this share are taken apart once.
 POOR = 0.98
 #: More capacities than this are refused, as each document is packed once for each.
@@ -51,6 +52,57 @@ def fitness(bins: Packing, size: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def exchange(bins: Packing, loose: list[int], size: list[int], capacity: int) -> list[int]:
+    """Fills bins better by exchange with loose pieces, and gives the pieces that are loose then.
+
+    One piece of a bin goes for a larger loose one, or for two; or two of its pieces for a larger one. Each exchange fills the bin
+    more, so large pieces go into bins and the small ones, which fit anywhere, become loose.
+    """
+    pool = sorted((size[i], i) for i in loose)
+    for b in bins:
+        room = capacity - sum(size[i] for i in b)
+        moved = True
+        while room and pool and moved:
+            moved = False
+            best = (0, None, ())  # gain, places in the bin, places in the pool
+            for x, p in enumerate(b):
+                at = bisect.bisect_right(pool, (size[p] + room, 1 << 60)) - 1
+                if at >= 0 and pool[at][0] - size[p] > best[0]:
+                    best = (pool[at][0] - size[p], (x,), (at,))
+                lo, hi = 0, len(pool) - 1
+                while best[0] < room and lo < hi:  # two loose pieces of the largest sum that fits
+                    two = pool[lo][0] + pool[hi][0] - size[p]
+                    if two > room:
+                        hi -= 1
+                        continue
+                    if two > best[0]:
+                        best = (two, (x,), (lo, hi))
+                    lo += 1
+                if best[0] == room:
+                    break
+            if best[0] < room and len(b) <= 12:
+                for x in range(len(b)):
+                    for y in range(x):
+                        s = size[b[x]] + size[b[y]]
+                        at = bisect.bisect_right(pool, (s + room, 1 << 60)) - 1
+                        if at >= 0 and pool[at][0] - s > best[0]:
+                            best = (pool[at][0] - s, (x, y), (at,))
+            if best[0]:
+                gain, out, into = best
+                fresh = [pool[k][1] for k in into]
+                back = [b[k] for k in out]
+                for k in sorted(into, reverse=True):
+                    pool.pop(k)
+                for k in sorted(out, reverse=True):
+                    b.pop(k)
+                b.extend(fresh)
+                for i in back:
+                    bisect.insort(pool, (size[i], i))
+                room -= gain
+                moved = True
+    return [i for _, i in pool]
+
+
 def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random) -> Packing:
     """Injects some of the fullest bins of b into a."""
     fill = sorted(b, key=lambda x: -sum(size[i] for i in x))
@@ -62,7 +114,8 @@ def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: rando
             keep.append(list(x))
         else:
             loose.extend(i for i in x if i not in held)
-    return best_fit(inject + keep, loose, size, capacity)
+    bins = inject + keep
+    return best_fit(bins, exchange(bins, loose, size, capacity), size, capacity)
 
 
 def mutate(a: Packing, size: list[int], capacity: int, rng: random.Random) -> Packing:
@@ -70,8 +123,9 @@ def mutate(a: Packing, size: list[int], capacity: int, rng: random.Random) -> Pa
     order = sorted(range(len(a)), key=lambda k: sum(size[i] for i in a[k]))
     out = set(order[: max(1, len(a) // 12)]) | {rng.randrange(len(a))}
     loose = [i for k in out for i in a[k]]
-    rng.shuffle(loose)
-    return best_fit([list(x) for k, x in enumerate(a) if k not in out], loose, size, capacity)
+    bins = [list(x) for k, x in enumerate(a) if k not in out]
+    rng.shuffle(bins)
+    return best_fit(bins, exchange(bins, loose, size, capacity), size, capacity)
 
 
 def _start(size: list[int], capacity: int, rng: random.Random) -> Packing:
@@ -135,12 +189,13 @@ def _round(batches: Iterator[pa.RecordBatch], generations: int, seed: int) -> It
             yield pa.RecordBatch.from_pylist([r], schema=b.schema)
 
 
-def _evolved(pieces: DataFrame, islands: int, rounds: int, generations: int, seed: int) -> DataFrame:
+def _evolved(pieces: DataFrame, blocks: int, islands: int, rounds: int, generations: int, seed: int) -> DataFrame:
     """(pack_name, capacity, block, bin, doc_id, part_no, n_tokens): the best packing that any island found for each block."""
     packed = pieces.groupBy("pack_name", "capacity", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "part_no", "n_tokens"))).alias("l"))
     base = packed.select("pack_name", "capacity", "block", F.expr("transform(l, x -> x.doc_id)").alias("docs"), F.expr("transform(l, x -> x.part_no)").alias("parts"), F.expr("transform(l, x -> x.n_tokens)").alias("sizes"))
     state = base.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.array().cast("array<array<int>>"))
-    tasks = 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task for a few blocks, as a block is little work
+    tasks = min(4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, blocks * islands // 4))
     order = ["pack_name", "capacity", "block", "island", "docs", "parts", "sizes", "elites"]
     for r in range(rounds):
         state = cut(state.select(*order).repartition(tasks, "pack_name", "block", "island").mapInArrow(lambda it, r=r: _round(it, generations, seed + r), _STATE), "islands")
@@ -182,14 +237,15 @@ def pack(sizes: DataFrame, packs: DataFrame, block: int = BLOCK, islands: int =
     pieces = _pieces(s, p)
     full = pieces.filter("n_tokens = capacity").select("pack_name", F.concat_ws("-", F.lit("f"), "doc_id", "part_no").alias("container_id"), "doc_id", "part_no", "n_tokens")
     dealt = pieces.filter("n_tokens < capacity").withColumn("block", F.pmod(F.xxhash64("doc_id", "part_no", F.lit(seed)), F.lit(blocks)))
-    first = cut(_evolved(dealt, islands, rounds, generations, seed), "packed")
+    n_packs = max(1, p.count())
+    first = cut(_evolved(dealt, blocks * n_packs, islands, rounds, generations, seed), "packed")
     by_bin = Window.partitionBy("pack_name", "block", "bin")
     filled = first.withColumn("fill", F.sum("n_tokens").over(by_bin) / F.col("capacity"))
     kept = filled.filter(F.col("fill") >= POOR).select("pack_name", F.concat_ws("-", F.lit("a"), "block", "bin").alias("container_id"), "doc_id", "part_no", "n_tokens")
     poor = cut(filled.filter(F.col("fill") < POOR).select("pack_name", "capacity", "doc_id", "part_no", "n_tokens"), "poor")
-    again = max(1, round(poor.count() / max(1, p.count()) / block))
+    again = max(1, round(poor.count() / n_packs / block))
     dealt = poor.withColumn("block", F.pmod(F.xxhash64("doc_id", "part_no", F.lit(seed + 1)), F.lit(again)))
-    second = _evolved(dealt, islands, rounds, generations, seed + 100)
+    second = _evolved(dealt, again * n_packs, islands, rounds, generations, seed + 100)
     last = second.select("pack_name", F.concat_ws("-", F.lit("b"), "block", "bin").alias("container_id"), "doc_id", "part_no", "n_tokens")
     return full.union(kept).union(last)
 
@@ -200,3 +256,26 @@ def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:
     per = bins.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
     j = per.join(packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")), "pack_name")
     return j.select("pack_name", "capacity", "containers", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), "n_tokens", "fullest", F.round(F.col("n_tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"))
+
+
+def evolution_report(sizes: DataFrame, packs: DataFrame, block: int = BLOCK, generations: int = GENERATIONS, seed: int = SEED) -> DataFrame:
+    """(pack_name, capacity, block, n_pieces, least_bins, best_fit_bins, evolved_bins): for each block of pack() what its documents need at
+    least, what best fit from the largest on needs, and what one island needs after its generations."""
+    s = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    blocks = max(1, round(s.count() / block))
+    pieces = _pieces(s, packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).filter("capacity > 0"))
+    dealt = pieces.filter("n_tokens < capacity").withColumn("block", F.pmod(F.xxhash64("doc_id", "part_no", F.lit(seed)), F.lit(blocks)))
+    each = dealt.groupBy("pack_name", "capacity", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "part_no", "n_tokens"))).alias("l"))
+
+    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = [[], [], []]
+            for capacity, size in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                bins[0].append(-(-sum(size) // capacity))
+                bins[1].append(len(best_fit([], list(range(len(size))), size, capacity)))
+                bins[2].append(len(evolve(size, capacity, [], seed, generations)))
+            n = pa.array([len(x) for x in b.column(3).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], n, *[pa.array(x, pa.int32()) for x in bins]], names=["pack_name", "capacity", "block", "n_pieces", "least_bins", "best_fit_bins", "evolved_bins"])
+
+    slim = each.select("pack_name", "capacity", "block", F.expr("transform(l, x -> x.n_tokens)").alias("sizes"))
+    return slim.mapInArrow(worker, "pack_name string, capacity long, block long, n_pieces int, least_bins int, best_fit_bins int, evolved_bins int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pustaka.llm.packing import fill_report, pack
+from pustaka.llm.packing import evolution_report, fill_report, pack
 from pustaka.llm.token_counts import token_counts
 from pustaka.session import cut, read
 
@@ -17,5 +17,9 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(cut(p8_packed(spark, sf_dir), "packed"), read(spark, sf_dir, "pack_sizes"))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill}
+def p8_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evolution_report(token_counts(read(spark, sf_dir, "documents")), read(spark, sf_dir, "pack_sizes"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p8_evolution": p8_evolution}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from pustaka.llm.packing import best_fit, crossover, evolve, fill_report, mutate, pack
+from pustaka.llm.packing import best_fit, crossover, evolution_report, evolve, fill_report, mutate, pack
 
 PACKS = [("small", 100), ("large", 1000)]
 
@@ -51,6 +51,33 @@ def test_evolution_beats_a_poor_start():
     assert len(evolve(size, 100, [poor], 3, generations=25)) <= 74
 
 
+def test_evolution_beats_best_fit():
+    """On sizes of which three fill a bin exactly best fit wastes a bin in seven; on many small blocks it wastes one now and then."""
+    rng = random.Random(5)
+    for n in (40, 60, 120):
+        size = []
+        for _ in range(n):
+            a = rng.randrange(380, 490)
+            b = rng.randrange(250, (1000 - a) // 2 + 1)
+            size += [a, b, 1000 - a - b]
+        plain = len(best_fit([], list(range(len(size))), size, 1000))
+        assert n <= len(evolve(size, 1000, [], 3)) <= 0.93 * plain
+    plain = evolved = 0
+    for k in range(24):
+        size = [min(2047, int(2 ** rng.uniform(4, 11))) for _ in range(400)]
+        plain += len(best_fit([], list(range(400)), size, 2048))
+        evolved += len(evolve(size, 2048, [], k))
+    assert evolved < plain
+
+
+def test_report_of_the_evolution(spark):
+    rng = random.Random(8)
+    sizes = spark.createDataFrame([(i, rng.randrange(1, 99)) for i in range(300)], "doc_id long, n_tokens long")
+    got = evolution_report(sizes, spark.createDataFrame(PACKS, "pack_name string, capacity_tokens int"), block=60).collect()
+    assert sum(r["n_pieces"] for r in got) == 600
+    assert all(r["least_bins"] <= r["evolved_bins"] <= r["best_fit_bins"] for r in got)
+
+
 def test_empty_and_repeated(spark):
     assert run(spark, [])[0].count() == 0
     df, _ = run(spark, [(1, 40), (1, 40), (2, 30)])
