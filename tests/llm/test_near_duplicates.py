@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
+from pustaka.llm import near_duplicates as N
 from pustaka.llm.near_duplicates import similar_groups, similar_pairs
 
 COMMON = ["discuss", "the", "role", "of", "water", "policy", "in", "hill", "towns", "and", "its", "effect", "on", "weavers", "since", "reform", "with", "examples", "from", "plains", "coast", "trade", "health"]
@@ -59,6 +62,38 @@ def test_a_third_are_copies_and_a_text_is_very_long(spark):
     assert got == brute(rows) and (900, 901) in got
 
 
+def test_large_stretches(spark, monkeypatch):
+    """With small bounds, orders are cut deeper where neighbours differ, and stretches of many alike texts are compared in blocks."""
+    monkeypatch.setattr(N, "SMALL", 6)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "RARE", 2)
+    rng = random.Random(6)
+    base = [*COMMON[:20], *(f"term{k}" for k in range(12))]
+    dense = [" ".join(w for i, w in enumerate(base) if i not in (a, b)) for a in range(12) for b in range(a)]
+    rows = list(enumerate(dense + [" ".join(rng.sample(COMMON, 15)) for _ in range(150)]))
+    want = brute(rows)
+    sets = N.cut(N.word_sets(data(spark, rows), "submission_id", "question"), "sets")
+    seen = []
+    forest = N.cut
+    monkeypatch.setattr(N, "cut", lambda df, name: seen.append((name, forest(df, name))) or seen[-1][1])
+    links = N.similar_sets(sets).count()
+    assert seen[0][0] == "neighbours" and seen[0][1].filter("stretch IS NOT NULL").count() > 0
+    got = {(r["a"], r["b"]) for r in similar_pairs(data(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and links > 1000
+
+
+def test_neighbours_of_a_sorted_order(monkeypatch):
+    """A stretch of one place is cut by longest common prefix until it is small: texts that share two words of the order meet, those that share none do not."""
+    monkeypatch.setattr(N, "SMALL", 4)
+    m = 12
+    tail = np.zeros((m, N.TAIL), ">u4")
+    tail[:, 0], tail[:, 1], tail[:, 2] = np.repeat([1, 2], 6), np.repeat([1, 2, 3, 4], 3), np.arange(m)
+    parity = np.array([2**40 - 1 if i % 3 == 1 else 0 for i in range(m)], np.uint64)
+    out = N._neighbours(np.ones(m, np.uint64), tail, np.arange(m), parity, np.full(m, 30), np.zeros(m, np.int64))
+    got = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    assert got == {(0, 2), (3, 5), (6, 8), (9, 11)}
+
+
 def test_groups(spark):
     rows = list(enumerate(families(random.Random(4), 60, 5)))
     pairs = brute(rows)
