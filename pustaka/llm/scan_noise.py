@@ -3,7 +3,8 @@
 Words. The anagram hash of a word is the sum of the fifth powers of its characters' numbers, so a misreading, as `rn`
 for `m`, moves it by the same difference in every word. Rare words are joined in SQL with the frequent words whose hash
 lies one such difference away, the matches are verified at the place of the misreading, and each rare word is corrected
-to its most frequent match. All counts are taken over the whole corpus.
+to its most frequent match. To the confusions known beforehand come those that the corpus shows, and a word may hold two.
+All counts are taken over the whole corpus.
 
 Lines. A page number is recognised by its form. A running header is a line that comes back beside different
 questions of one booklet; with digits, the publisher's name and the paper taken out, headers of different booklets are one form, and a
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pustaka.session import cut
@@ -27,6 +28,12 @@ MISREAD = (
 )
 #: A frequent word stands at least this often, and so many times as often as its misreading; less for one with a mark or digit inside.
 FREQUENT, RATIO, RATIO_MARK = 3, 8, 1
+#: Words shorter than this have no two faults.
+LONG_WORD = 7
+#: A confusion is learned from so many words, this share of all that differ in one place, and if it is so many times as frequent as its reverse.
+LEARNED_LEAST, LEARNED_SHARE, LEARNED_RATIO = 5, 0.002, 4
+#: Forms of a booklet that are compared with its headers in one task, and corrections up to which these are broadcast.
+UNIT_BLOCK, MOST_BROADCAST = 20_000, 200_000
 #: A form of line is a header if its booklets have it on so many questions on average, and it comes back so often in all.
 RETURNS, LEAST_RETURNS = 1.5, 2
 HYPHENS = "-‐¬­"
@@ -36,16 +43,6 @@ _PAGE = r"(?i)^[\s\-–—~\[\](){}|.·•*]*(?:p(?:age|g)?[\s.\-:]*)?\p{Nd}{1,4
 _NOTE = r"(?i)^[\s\[(]*(?:answer in\s*)?(?:\p{Nd}{1,4}\s*(?:words?|marks?|m)?[\s,.\])]*)+$"
 
 
-def lines_of(df: DataFrame, row_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(ocr_id, line_no, line, n_lines, beside, *keep): the lines of each text, numbered from 1; `beside` is a hash of the longest other
-    line, of those that can be no header if there is one."""
-    rows = df.select(F.col(row_id).cast("long").alias("ocr_id"), F.split(F.col(text), "\n").alias("ls"), *keep).filter(F.col("ls").isNotNull())
-    by_length = F.array_sort(F.transform(F.filter(F.array_distinct("ls"), lambda x: ~x.rlike(_PAGE)), lambda x: F.struct(_may_be_header(x).alias("may"), (-F.length(x)).alias("n"), x.alias("line"))))
-    two = rows.withColumn("longest", F.slice(by_length, 1, 2)).withColumn("first", F.get("longest", F.lit(0))["line"]).withColumn("second", F.get("longest", F.lit(1))["line"])
-    lines = two.select("ocr_id", F.size("ls").alias("n_lines"), "first", "second", F.posexplode("ls").alias("line_no", "line"), *keep).withColumn("line_no", F.col("line_no") + 1)
-    return lines.withColumn("beside", F.xxhash64(F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")))).drop("first", "second")
-
-
 def _words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}]+", " "))
 
@@ -64,25 +61,73 @@ def _form(line: Column, source: Column, unit: Column, paper: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?<= )\p{Ll}(?= )", " "), r"\s+", " "))
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """Adds `kind`: header, pageno or null, to what lines_of() gives with unit_key, source, paper and page."""
-    n_lines = F.col("n_lines")
+def _lines(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    return df.select(F.col(row_id).cast("long").alias("ocr_id"), F.split(F.col(text), "\n").alias("ls"), "unit_key", "source", "paper", "page").filter(F.col("ls").isNotNull())
+
+
+def line_kinds(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
+    """(ocr_id, line_no, kind): the lines that belong to the page, header or pageno; lines are numbered from 1.
+
+    Each line is looked at once. Of those that may be headers only the form and a hash of the longest other line beside it are kept, so that
+    no text of a question is shuffled.
+    """
+    feats = F.transform("ls", lambda x: F.struct(x.rlike(_PAGE).alias("page_form"), _may_be_header(x).alias("may"), F.length(x).alias("len"), F.xxhash64(x).alias("hash")))
+    rows = _lines(df, row_id, text).withColumn("feats", feats)
+    # the longest lines, those that can be no header first; of a text's two, a line is beside the one that it is not
+    by_length = F.array_sort(F.array_distinct(F.transform(F.filter("feats", lambda f: ~f["page_form"]), lambda f: F.struct(f["may"].alias("may"), (-f["len"]).alias("n"), f["hash"].alias("hash")))))
+    two = rows.withColumn("longest", F.slice(by_length, 1, 2)).select("*", F.get("longest", F.lit(0))["hash"].alias("first"), F.get("longest", F.lit(1))["hash"].alias("second"))
+    each = two.select("ocr_id", F.size("ls").alias("n_lines"), "first", "second", "unit_key", "source", "paper", "page", F.posexplode(F.arrays_zip("ls", "feats")).alias("pos", "x"))
+    lines = each.select("*", (F.col("pos") + 1).alias("line_no"), F.col("x.ls").alias("line"), F.col("x.feats").alias("f")).filter((F.col("f.page_form") | F.col("f.may")) & (F.col("n_lines") > 1))
     bare = F.trim(F.col("line")).rlike(r"^\p{Nd}{1,4}$")
     number = F.translate(F.trim(F.col("line")), "०१२३४५६७८९০১২৩৪৫৬৭৮৯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 3).try_cast("int")
-    pageno = F.col("line").rlike(_PAGE) & (~bare | F.col("page").isNull() | (number == F.col("page")) | (F.col("line_no") < n_lines))
-    may = _may_be_header(F.col("line")) & (n_lines > 1)
-    tagged = lines.withColumn("pageno", pageno & (n_lines > 1)).withColumn("may", may)
+    pageno = F.col("f.page_form") & (~bare | F.col("page").isNull() | (number == F.col("page")) | (F.col("line_no") < F.col("n_lines")))
+    form = F.when(F.col("f.may"), _form(F.col("line"), F.col("source"), F.col("unit_key"), F.col("paper")))
+    beside = F.when(F.col("f.hash") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    marked = cut(lines.select("ocr_id", "line_no", "unit_key", pageno.alias("pageno"), form.alias("form"), beside.alias("beside")).filter("pageno OR form IS NOT NULL"), "marked")
+    may = marked.filter("NOT pageno AND form IS NOT NULL")
     # of a question asked twice in a booklet every line comes back, so what counts is how many different longest other lines a line has
-    tagged = cut(tagged.withColumn("form", F.when(F.col("may"), _form(F.col("line"), F.col("source"), F.col("unit_key"), F.col("paper")))).drop("may"), "lines")
-    per_unit = tagged.filter("form IS NOT NULL AND NOT pageno AND unit_key IS NOT NULL").groupBy("form", "unit_key").agg(F.count_distinct("beside").alias("rows"))
+    per_unit = may.filter("unit_key IS NOT NULL").groupBy("form", "unit_key").agg(F.count_distinct("beside").alias("rows"))
     forms = per_unit.groupBy("form").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("units"))
     heads = forms.filter((F.col("rows") >= RETURNS * F.col("units")) & (F.col("rows") - F.col("units") >= LEAST_RETURNS) & (F.length("form") >= 6)).select("form", F.lit(True).alias("known"))
-    # a misread header is one or two letters away from a header of its own booklet
-    exact = per_unit.join(heads, "form").select("unit_key", F.col("form").alias("head"))
-    odd = per_unit.join(heads, "form", "left_anti").join(exact, "unit_key").filter((F.levenshtein("form", "head", 3) >= 0) & (F.length("form") >= 8)).select("unit_key", "form", F.lit(True).alias("close")).distinct()
-    j = tagged.join(heads, "form", "left").join(odd, ["unit_key", "form"], "left")
-    kind = F.when(F.col("pageno"), "pageno").when(F.col("known") | F.col("close"), "header")
-    return j.select("ocr_id", "line_no", "line", kind.alias("kind"))
+    # a misread header is a few letters away from a header of its own booklet
+    near = cut(may.select("form", "unit_key").distinct().join(heads, "form", "left"), "forms")
+    odd = _close_forms(near.filter("known IS NULL AND unit_key IS NOT NULL AND length(form) >= 8").select("unit_key", "form"), near.filter("known AND unit_key IS NOT NULL").select("unit_key", F.col("form").alias("head")))
+    found = may.join(heads.select("form"), "form", "left_semi").union(may.join(odd, ["form", "unit_key"], "left_semi").select("form", *[c for c in may.columns if c != "form"]))
+    return marked.filter("pageno").select("ocr_id", "line_no", F.lit("pageno").alias("kind")).union(found.select("ocr_id", "line_no", F.lit("header").alias("kind")))
+
+
+def _close_forms(odd: DataFrame, heads: DataFrame, block: int = UNIT_BLOCK) -> DataFrame:
+    """(unit_key, form): the forms at most three letters away from a header of their booklet. The forms of a large booklet are dealt into
+    blocks, which its few headers all meet."""
+    many = odd.groupBy("unit_key").agg(F.count(F.lit(1)).alias("c")).select("unit_key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    left = odd.join(many, "unit_key").withColumn("b", F.pmod(F.xxhash64("form"), F.col("blocks")).cast("int"))
+    right = heads.join(many, "unit_key").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    j = left.select("unit_key", "b", "form").join(right.select("unit_key", "b", "head"), ["unit_key", "b"])
+    return j.filter((F.abs(F.length("form") - F.length("head")) <= 3) & (F.levenshtein("form", "head", 3) >= 0)).select("unit_key", "form").distinct()
+
+
+def content(df: DataFrame, kinds: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
+    """(ocr_id, c): for each text the lines that belong to the question, in order: (line_no, line, broken, rest, next_no, next_word).
+
+    `broken`: its last word goes on in the next line of the question, which begins with next_word; `rest`: its first word is such a rest.
+    """
+    drop = kinds.groupBy("ocr_id").agg(F.collect_set("line_no").alias("drop"))
+    rows = _lines(df, row_id, text).select("ocr_id", "ls").join(drop, "ocr_id", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
+    own = rows.select("ocr_id", F.filter(F.transform("ls", lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_replace(x, r"\s+$", "").alias("line"))), lambda e: ~F.array_contains(F.col("drop"), e["line_no"])).alias("own"))
+    after = own.select("ocr_id", "own", F.transform("own", lambda e: F.regexp_extract(e["line"], f"^\\s*({WORD})", 1)).alias("heads"), F.transform("own", lambda e: e["line"].rlike(r"^\s*\p{L}")).alias("letters"))
+    ends = after.select("*", F.transform("own", lambda e, i: e["line"].rlike(r"[\p{L}\p{M}][" + HYPHENS + "]$") & F.coalesce(F.get("letters", i + 1), F.lit(False))).alias("broken"))
+    c = F.transform(
+        "own",
+        lambda e, i: F.struct(
+            e["line_no"].alias("line_no"),
+            e["line"].alias("line"),
+            F.get("broken", i).alias("broken"),
+            F.coalesce(F.get("broken", i - 1), F.lit(False)).alias("rest"),
+            F.get("own", i + 1)["line_no"].alias("next_no"),
+            F.when(F.get("broken", i), F.get("heads", i + 1)).alias("next_word"),
+        ),
+    )
+    return ends.select("ocr_id", c.alias("c"))
 
 
 def _core(word: Column) -> Column:
@@ -90,23 +135,14 @@ def _core(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[!|$@†]+|[!|$]+$", "")
 
 
-def content(lines: DataFrame) -> DataFrame:
-    """The lines that belong to the question, each with the next one, whether its last word is broken, and whether its first is a rest."""
-    w = Window.partitionBy("ocr_id").orderBy("line_no")
-    c = lines.filter("kind IS NULL").withColumn("line", F.regexp_replace("line", r"\s+$", ""))
-    c = c.withColumn("next", F.lead("line").over(w)).withColumn("next_no", F.lead("line_no").over(w))
-    broken = F.col("line").rlike(r"[\p{L}\p{M}][" + HYPHENS + "]$") & F.coalesce(F.col("next").rlike(r"^\s*\p{L}"), F.lit(False))
-    return c.withColumn("broken", broken).withColumn("rest", F.coalesce(F.lag("broken").over(w), F.lit(False)))
-
-
-def words_of(lines: DataFrame) -> DataFrame:
+def words_of(c: DataFrame) -> DataFrame:
     """(ocr_id, line_no, next_no, head_len, word): the words of the content lines, a broken one joined and given to the line it begins in."""
-    tokens = F.regexp_extract_all(F.col("line"), F.lit(f"({WORD})"), 1)
-    first_of_next = F.coalesce(F.regexp_extract(F.col("next"), f"^\\s*({WORD})", 1), F.lit(""))
-    c = lines.withColumn("w", F.when(F.col("rest"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens))
-    last = F.when(F.col("broken") & (F.size("w") > 0), F.array(F.struct(F.length(F.element_at("w", -1)).alias("head_len"), F.concat(F.element_at("w", -1), first_of_next).alias("word")))).otherwise(F.array().cast("array<struct<head_len:int,word:string>>"))
+    e = c.select("ocr_id", F.explode("c").alias("e")).select("ocr_id", "e.*")
+    e = e.withColumn("tokens", F.regexp_extract_all(F.col("line"), F.lit(f"({WORD})"), 1))
+    e = e.withColumn("w", F.when(F.col("rest"), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))).otherwise(F.col("tokens")))
+    last = F.when(F.col("broken") & (F.size("w") > 0), F.array(F.struct(F.length(F.element_at("w", -1)).alias("head_len"), F.concat(F.element_at("w", -1), F.coalesce("next_word", F.lit(""))).alias("word")))).otherwise(F.array().cast("array<struct<head_len:int,word:string>>"))
     whole = F.transform(F.when(F.col("broken"), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w")), lambda x: F.struct(F.lit(0).alias("head_len"), x.alias("word")))
-    return c.select("ocr_id", "line_no", "next_no", F.explode(F.concat(whole, last)).alias("x")).select("ocr_id", "line_no", "next_no", "x.head_len", _core(F.col("x.word")).alias("word")).filter("word <> ''")
+    return e.select("ocr_id", "line_no", "next_no", F.explode(F.concat(whole, last)).alias("x")).select("ocr_id", "line_no", "next_no", "x.head_len", _core(F.col("x.word")).alias("word")).filter("word <> ''")
 
 
 def anagram_hash(word: Column) -> Column:
@@ -125,37 +161,99 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return cut(v.filter(F.length("word") >= 3).withColumn("h", anagram_hash(F.col("word"))), "vocabulary")
 
 
-def corrections(vocab: DataFrame) -> DataFrame:
-    """(word, right, at, n): for each misread word its correction, and where its misreading begins."""
-    frequent = vocab.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{Ll}+$") & (F.length("word") >= 4)).select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("h").alias("key"))
-    odd = [F.struct(F.lit(a).alias("read"), F.lit(b).alias("print"), F.lit(_hash(b) - _hash(a)).cast("long").alias("d")) for a, b in MISREAD]
-    has = F.filter(F.array(*odd), lambda o: F.contains(F.col("word"), o["read"]))
-    rare = vocab.select("word", "n", "h", F.explode(has).alias("o")).select("word", "n", "o.read", "o.print", (F.col("h") + F.col("o.d")).alias("key"))
-    ratio = F.when(F.col("word").rlike(r"[^\p{L}\p{M}]"), RATIO_MARK).otherwise(RATIO)
-    pairs = rare.join(frequent, "key").filter(F.col("m") >= F.greatest(ratio * F.col("n"), F.lit(FREQUENT)))
-    places = F.filter(
-        F.sequence(F.lit(1), F.length("word")),
-        lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.when(F.substring(F.col("word"), i, F.length("read")) == F.col("read"), F.col("print")).otherwise(F.lit("\u0001")), F.substring(F.col("word"), i + F.length("read"), F.length("word"))) == F.col("right"),
-    )
-    found = pairs.withColumn("at", F.element_at(F.concat(places, F.array(F.lit(0))), 1)).filter("at > 0")
+def _frequent(vocab: DataFrame) -> DataFrame:
+    return vocab.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{Ll}+$") & (F.length("word") >= 4)).select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("h").alias("key"))
+
+
+def _enough(strict: int = 1) -> Column:
+    """Whether the right word is frequent enough beside the misread one."""
+    ratio = F.when(F.col("word").rlike(r"[^\p{L}\p{M}]"), RATIO_MARK).otherwise(RATIO * strict)
+    return F.col("m") >= F.greatest(ratio * F.col("n"), F.lit(FREQUENT))
+
+
+def _confusions(pairs: list[tuple[str, str]]) -> Column:
+    """The confusions whose misread side a word holds."""
+    odd = [F.struct(F.lit(a).alias("read"), F.lit(b).alias("print"), F.lit(_hash(b) - _hash(a)).cast("long").alias("d")) for a, b in pairs]
+    return F.filter(F.array(*odd), lambda o: F.contains(F.col("word"), o["read"]))
+
+
+def _undone(word: Column, read: Column, printed: Column) -> Column:
+    """What a word may have been: (at, word) for each place at which `read` stands, with what is printed put there."""
+    at = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.length(read)) == read)
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.concat(F.substring(word, F.lit(1), i - 1), printed, F.substring(word, i + F.length(read), F.length(word))).alias("word")))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The most frequent match of each word."""
     return found.groupBy("word").agg(F.max_by(F.struct("right", "at"), F.struct("m", "right")).alias("b"), F.first("n").alias("n")).select("word", "b.right", "b.at", "n")
 
 
-def _parts(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines with their kinds, content lines, and the words that are misread with their corrections."""
-    lines = cut(classify_lines(lines_of(df, row_id, text, ("unit_key", "source", "paper", "page"))), "kinds")
-    c = cut(content(lines), "content")
+def one_fault(vocab: DataFrame, frequent: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(word, right, at, n): the words that one confusion turns into a frequent one, and the place of the fault as an array."""
+    keyed = vocab.select("word", "n", "h", F.explode(_confusions(pairs)).alias("o")).select("word", "n", "o.read", "o.print", (F.col("h") + F.col("o.d")).alias("key"))
+    near = keyed.join(frequent, "key").filter(_enough())
+    at = F.transform(F.filter(_undone(F.col("word"), F.col("read"), F.col("print")), lambda x: x["word"] == F.col("right")), lambda x: x["at"])
+    return _best(near.withColumn("at", F.slice(at, 1, 1)).filter("size(at) > 0"))
+
+
+def two_faults(vocab: DataFrame, frequent: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(word, right, at, n): the words of at least LONG_WORD characters that two confusions turn into a frequent one, and the places of both."""
+    has = _confusions(pairs)
+    both = F.flatten(F.transform(has, lambda x: F.transform(F.filter(has, lambda y: y["read"] >= x["read"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keyed = vocab.filter(F.length("word") >= LONG_WORD).select("word", "n", "h", F.explode(both).alias("o")).select("word", "n", "o", (F.col("h") + F.col("o.x.d") + F.col("o.y.d")).alias("key"))
+    near = keyed.join(frequent, "key").filter(_enough(2))
+    first = _undone(F.col("word"), F.col("o.x.read"), F.col("o.x.print"))
+    places = F.flatten(F.transform(first, lambda a: F.transform(F.filter(_undone(a["word"], F.col("o.y.read"), F.col("o.y.print")), lambda b: b["word"] == F.col("right")), lambda b: F.array_sort(F.array(a["at"], b["at"])))))
+    return _best(near.withColumn("at", F.get(places, F.lit(0))).filter("at IS NOT NULL"))
+
+
+def learned(vocab: DataFrame, frequent: DataFrame) -> list[tuple[str, str]]:
+    """Confusions of one character that the corpus shows: what parts rare words from frequent ones at one place, again and again and far
+    more often that way than the other; endings are left out, as words are inflected there. At most 1 / LEARNED_SHARE of them can be."""
+    hidden = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.struct(F.xxhash64(F.concat(F.substring(c, F.lit(1), i - 1), F.lit("\u0001"), F.substring(c, i + 1, F.length(c)))).alias("key"), F.substring(c, i, F.lit(1)).alias("ch"))))
+    rare = vocab.filter(F.length("word") >= 5).select("word", "n", hidden(F.col("word")).alias("k")).select("word", "n", "k.key", F.col("k.ch").alias("read"))
+    full = frequent.filter(F.length("right") >= 5).select("right", "m", hidden(F.col("right")).alias("k")).select("m", "k.key", F.col("k.ch").alias("print"))
+    seen = rare.join(full, "key").filter(F.col("read") != F.col("print")).filter(F.col("m") >= RATIO * F.col("n")).groupBy("read", "print").agg(F.count_distinct("word").alias("c"))
+    back = seen.select(F.col("read").alias("print"), F.col("print").alias("read"), F.col("c").alias("back"))
+    all_pairs = seen.agg(F.sum("c").alias("all"))
+    ok = seen.join(back, ["read", "print"], "left").crossJoin(F.broadcast(all_pairs)).filter((F.col("c") >= LEARNED_LEAST) & (F.col("c") >= LEARNED_SHARE * F.col("all")) & (F.col("c") >= LEARNED_RATIO * F.coalesce("back", F.lit(0))))
+    return sorted((r["read"], r["print"]) for r in ok.select("read", "print").collect())
+
+
+def corrections(vocab: DataFrame) -> DataFrame:
+    """(word, right, at, n): for each misread word its correction, and where its misreadings begin.
+
+    Known confusions come first; those learned from what they leave over come second, and two in one word last.
+    """
+    frequent = cut(_frequent(vocab), "frequent")
+    known = cut(one_fault(vocab, frequent, list(MISREAD)), "known")
+    rest = cut(vocab.join(known, "word", "left_anti"), "rest")
+    more = [p for p in learned(rest, frequent) if p not in MISREAD]
+    if more:
+        fresh = cut(one_fault(rest, frequent, more), "fresh")
+        known, rest = known.union(fresh), rest.join(fresh, "word", "left_anti")
+    return known.union(two_faults(rest, frequent, [*MISREAD, *more]))
+
+
+def _joined_by(words: DataFrame, fixes: DataFrame) -> DataFrame:
+    """The words with their corrections. These are broadcast if they are few by count, as every word of the corpus stands on the other side."""
+    return words.join(F.broadcast(fixes) if fixes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else fixes, "word")
+
+
+def _parts(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines of the page with their kinds, content by text, the broken lines whose hyphen belongs to the word, and the misread words with their corrections."""
+    kinds = cut(line_kinds(df, row_id, text), "kinds")
+    c = cut(content(df, kinds, row_id, text), "content")
     w = cut(words_of(c), "words")
-    inside = c.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+-\p{L}+)"), 1)).alias("hyphened")).groupBy("hyphened").agg(F.count(F.lit(1)).alias("n"))
-    real = c.filter("broken").select(
-        "ocr_id", "line_no", F.lower(F.concat(F.regexp_extract("line", r"(\p{L}+)[" + HYPHENS + "]$", 1), F.lit("-"), F.regexp_extract("next", r"^\s*(\p{L}+)", 1))).alias("hyphened")
-    ).join(inside, "hyphened").withColumn("joined", F.replace("hyphened", F.lit("-"), F.lit("")))
+    e = c.select("ocr_id", F.explode("c").alias("e")).select("ocr_id", "e.*")
+    inside = e.filter(F.contains("line", F.lit("-"))).select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+-\p{L}+)"), 1)).alias("hyphened")).groupBy("hyphened").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.lower(F.concat(F.regexp_extract("line", r"(\p{L}+)[" + HYPHENS + "]$", 1), F.lit("-"), F.regexp_extract("next_word", r"^(\p{L}+)", 1)))
+    real = e.filter("broken").select("ocr_id", "line_no", whole.alias("hyphened")).join(inside, "hyphened").withColumn("joined", F.replace("hyphened", F.lit("-"), F.lit("")))
     vocab = vocabulary(w)
-    known = vocab.select("word", F.col("whole").alias("k"))
-    real = real.join(known, real["joined"] == known["word"], "left").filter(F.col("n") > F.coalesce("k", F.lit(0))).select("ocr_id", "line_no", F.lit(True).alias("compound"))
-    c = c.join(real, ["ocr_id", "line_no"], "left").withColumn("compound", F.coalesce("compound", F.lit(False)))
-    bad = w.join(cut(corrections(vocab), "corrections"), "word")
-    return lines, cut(c, "content"), cut(bad, "misread")
+    known = vocab.select(F.col("word").alias("joined"), F.col("whole").alias("k"))
+    compound = cut(real.join(known, "joined", "left").filter(F.col("n") > F.coalesce("k", F.lit(0))).select("ocr_id", "line_no"), "compounds")
+    bad = _joined_by(w, cut(corrections(vocab), "corrections"))
+    return kinds, c, compound, bad
 
 
 def noise(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
@@ -163,21 +261,21 @@ def noise(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> Data
 
     Null texts have no lines, an empty one has one without noise; a text of one line has neither header nor page number;
     repeated rows count for each other's headers only within their booklet; an empty table gives an empty result. Only
-    the columns row_id, text, unit_key, source, paper and page are read. Questions are handled by line, so a long one
-    or a booklet that holds most rows is spread like any others.
+    the columns row_id, text, unit_key, source, paper and page are read. A booklet that holds most rows is spread like any
+    others: its lines are counted by form, and compared with its headers in blocks.
     """
-    lines, c, bad = _parts(df, row_id, text)
-    page = lines.filter("kind IS NOT NULL").select("ocr_id", "line_no", "kind")
-    hyphen = c.filter("broken AND NOT compound").select("ocr_id", "line_no", F.lit("hyphen").alias("kind"))
-    misread = bad.select("ocr_id", F.when((F.col("head_len") > 0) & (F.col("at") > F.col("head_len")), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"))
-    return reduce(DataFrame.union, (page, hyphen, misread.distinct()))
+    kinds, c, compound, bad = _parts(df, row_id, text)
+    hyphen = c.select("ocr_id", F.explode(F.filter("c", lambda e: e["broken"])).alias("e")).select("ocr_id", "e.line_no").join(compound, ["ocr_id", "line_no"], "left_anti").select("ocr_id", "line_no", F.lit("hyphen").alias("kind"))
+    at = bad.select("ocr_id", "line_no", "next_no", "head_len", F.explode("at").alias("at"))
+    misread = at.select("ocr_id", F.when((F.col("head_len") > 0) & (F.col("at") > F.col("head_len")), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"))
+    return reduce(DataFrame.union, (kinds, hyphen, misread.distinct()))
 
 
 def plain_text(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
     """(ocr_id, text): each text without the lines of the page and with broken words joined; line feeds between its lines stay."""
-    c = content(classify_lines(lines_of(df, row_id, text, ("unit_key", "source", "paper", "page"))))
-    stretch = F.when(F.col("broken"), F.regexp_replace("line", "[" + HYPHENS + "]$", "")).otherwise(F.concat("line", F.lit("\n")))
-    return c.groupBy("ocr_id").agg(F.array_sort(F.collect_list(F.struct("line_no", stretch.alias("s")))).alias("l")).select("ocr_id", F.array_join(F.transform("l", lambda x: x["s"]), "").alias("text"))
+    c = content(df, cut(line_kinds(df, row_id, text), "kinds"), row_id, text)
+    piece = lambda e: F.when(e["broken"], F.regexp_replace(e["line"], "[" + HYPHENS + "]$", "")).otherwise(F.concat(e["line"], F.lit("\n")))
+    return c.filter(F.size("c") > 0).select("ocr_id", F.array_join(F.transform("c", piece), "").alias("text"))
 
 
 def _apply(line: Column, fixes: Column) -> Column:
@@ -194,8 +292,10 @@ def _apply(line: Column, fixes: Column) -> Column:
 
 def repaired(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
     """(ocr_id, text): each question as continuous text, without lines of the page, with broken words joined and misread ones corrected."""
-    _, c, bad = _parts(df, row_id, text)
-    stretch = F.when(F.col("broken") & ~F.col("compound"), F.regexp_replace("line", "[" + HYPHENS + "]$", "")).when(F.col("broken"), F.col("line")).otherwise(F.concat(F.trim("line"), F.lit(" ")))
-    joined = c.groupBy("ocr_id").agg(F.array_sort(F.collect_list(F.struct("line_no", stretch.alias("s")))).alias("l")).select("ocr_id", F.trim(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["s"]), ""), r"\s+", " ")).alias("text"))
+    _, c, compound, bad = _parts(df, row_id, text)
+    keep = compound.groupBy("ocr_id").agg(F.collect_set("line_no").alias("keep"))
     fixes = bad.groupBy("ocr_id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
+    held = lambda e: F.coalesce(F.array_contains("keep", e["line_no"]), F.lit(False))
+    piece = lambda e: F.when(e["broken"] & ~held(e), F.regexp_replace(e["line"], "[" + HYPHENS + "]$", "")).when(e["broken"], e["line"]).otherwise(F.concat(F.trim(e["line"]), F.lit(" ")))
+    joined = c.filter(F.size("c") > 0).join(keep, "ocr_id", "left").select("ocr_id", F.trim(F.regexp_replace(F.array_join(F.transform("c", piece), ""), r"\s+", " ")).alias("text"))
     return joined.join(fixes, "ocr_id", "left").select("ocr_id", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(_apply(F.col("text"), F.col("fixes"))).alias("text"))

@@ -6,7 +6,7 @@ import re
 
 from conftest import DATA
 
-from pustaka.llm.scan_noise import _hash, anagram_hash, noise, repaired
+from pustaka.llm.scan_noise import _close_forms, _hash, anagram_hash, noise, repaired
 from pyspark.sql import functions as F
 
 SCHEMA = "ocr_id long, unit_key string, source string, paper string, page int, question string, kind string, n int"
@@ -53,6 +53,23 @@ def test_checked_texts_come_back(spark):
     assert sum(flat(got[i]) == t for i, t in want) >= 0.95 * len(want)
 
 
+def test_two_faults_and_confusions_that_are_not_known(spark):
+    usual = "communities districts policies finance disaster bridges irrigation villages"
+    texts = [f"{usual} {usual}"] * 20 + ["The cornrnunities of two d1stricts", "new pol1cies on f1nance", "d1saster struck br1dges", "v1llages need irrigat1on", "the comrnunitics here"]
+    df = spark.createDataFrame([(i, f"alpha:{i}", None, None, None, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["ocr_id"]: r["text"] for r in repaired(df).collect()}
+    assert [got[20 + k] for k in range(5)] == ["The communities of two districts", "new policies on finance", "disaster struck bridges", "villages need irrigation", "the communities here"]
+    assert all(got[k] == texts[k] for k in range(20))
+    assert {(r["ocr_id"], r["kind"]) for r in noise(df).collect()} == {(20 + k, "misread") for k in range(5)}
+
+
+def test_forms_of_a_large_booklet_meet_its_headers_in_blocks(spark):
+    heads = spark.createDataFrame([("u", "alpha mains test"), ("v", "beta mains test")], "unit_key string, head string")
+    odd = spark.createDataFrame([("u", f"alpha ma{c}ns test") for c in "abcdefgh"] + [("u", "beta mains tesd"), ("v", "beta mains tesd"), ("w", "alpha mains test")], "unit_key string, form string")
+    got = {(r["unit_key"], r["form"]) for r in _close_forms(odd, heads, block=3).collect()}
+    assert got == {("u", f"alpha ma{c}ns test") for c in "abcdefgh"} | {("v", "beta mains tesd")}
+
+
 def test_hash(spark):
     words = ["schools", "scbools", "†ime", "p!ce"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(anagram_hash(F.col("w"))).collect()]
