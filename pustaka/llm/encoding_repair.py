@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 #: The legacy encodings that are tried. Bytes that one leaves undefined stand for the control characters of that number.
 ENCODINGS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251")
-LAYERS = 6
 
 
 def _table(encoding: str) -> dict[str, int]:
@@ -91,7 +90,8 @@ def _repair_run(run: str) -> str:
 
 
 def repair(text: str) -> tuple[str, int, int]:
-    """The restored text, how many layers were taken off, and how many runs were changed in the first of them."""
+    """The restored text, how many layers were taken off, and how many runs were changed in the first of them. Each layer makes a run
+    shorter, so the layers end."""
     layers = runs = 0
     known: dict[str, str] = {}
 
@@ -101,13 +101,12 @@ def repair(text: str) -> tuple[str, int, int]:
             known[run] = _repair_run(run) if any(c in _LEAD for c in run) else run
         return known[run]
 
-    while layers < LAYERS:
+    while True:
         changed = sum(1 for m in _RUN.finditer(text) if one(m) != m.group(0))
         if not changed:
-            break
+            return text, layers, runs
         runs = runs or changed
         text, layers = _RUN.sub(one, text), layers + 1
-    return text, layers, runs
 
 
 def _worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

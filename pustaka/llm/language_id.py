@@ -25,7 +25,7 @@ FAMILIES = {"germanic": ("en",), "indo-aryan": ("bn", "hi", "mr"), "dravidian":
 FAMILY_OF = {x: f for f, xs in FAMILIES.items() for x in xs}
 #: Features, n-gram lengths, words that a segment has at least, and the bounds of the sample of labelled rows that is fitted.
 DIMS, GRAMS, LEAST_WORDS = 1 << 13, (1, 2, 3, 4), 4
-MOST_CHECKED, MOST_LABELLED, MOST_CHARS = 1000, 1200, 600
+MOST_CHECKED, MOST_LABELLED, MOST_STRETCHES = 1000, 1200, 6000
 
 #: Notes and question numbers, which belong to no language.
 _NOTES = re.compile(
@@ -188,15 +188,16 @@ def segments(text: str, model: Model) -> list[tuple[str, float, int]]:
 
 
 def fit(checked: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Model:
-    """A model of labelled texts (language, text). Texts that mix scripts are left out, and those a first model finds wrongly labelled."""
-    xs, ys = [], []
+    """A model of labelled texts (language, text), taken whole. Texts that mix scripts are left out, and those a first model finds wrongly
+    labelled. Of more than MOST_STRETCHES stretches so many are fitted, by a hash of their words."""
+    ys = []
     for lang, text in [*checked, *labelled]:
-        parts = stretches(text[:MOST_CHARS])
+        parts = stretches(text)
         if lang in FAMILY_OF and parts and len({script(p[0]) for p in parts}) == 1:
-            for p in parts:
-                if len(p) >= LEAST_WORDS:
-                    xs.append(_vector(p))
-                    ys.append((lang, p))
+            ys += [(lang, p) for p in parts if len(p) >= LEAST_WORDS]
+    if len(ys) > MOST_STRETCHES:
+        ys = sorted(ys, key=lambda y: zlib.crc32(" ".join(y[1]).encode()))[:MOST_STRETCHES]
+    xs = [_vector(p) for _, p in ys]
     x = np.stack(xs) if xs else np.zeros((0, DIMS), np.float32)
     langs = [y[0] for y in ys]
     first = Model(x, langs)
@@ -210,7 +211,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
     Which rows are taken goes by a hash of their ids, so it is the same in every run.
     """
     checked = labels.select("ocr_id", "main_lang", "clean_text").filter("main_lang IS NOT NULL AND clean_text IS NOT NULL").orderBy(F.xxhash64("ocr_id"), "ocr_id").limit(MOST_CHECKED)
-    known = rows.select("ocr_id", "lang", F.substring("question", 1, MOST_CHARS).alias("q")).filter(F.col("lang").isin(*FAMILY_OF) & F.col("q").isNotNull())
+    known = rows.select("ocr_id", "lang", F.col("question").alias("q")).filter(F.col("lang").isin(*FAMILY_OF) & F.col("q").isNotNull())
     sample = known.orderBy(F.xxhash64("ocr_id"), "ocr_id").limit(MOST_LABELLED)
     take = lambda df: [(r[1], r[2]) for r in df.collect()]
     return fit(take(checked), take(sample))

@@ -28,7 +28,7 @@ SEED = 5
 
 def _chance(ids: np.ndarray, seed: int) -> np.ndarray:
     """A number between 0 and 1 for each document, the same in every run."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
     for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(s))) * np.uint64(m)
     return (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
