@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 _MADE: list[tuple[SparkSession, str]] = []
 
 
-def get_spark(app: str = "pustaka", cores: str = "*", shuffle: int = 8) -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
-    return (
+def get_spark(app: str = "pustaka", cores: str = "*", shuffle: int = 8, shared: str | None = None) -> SparkSession:
+    """A local session with the settings the tests and the bench use. `shared` is the folder for tables between steps, else $PUSTAKA_SHARED;
+    where neither is given, spark.checkpoint.dir stays unset, and a local session takes a temporary folder."""
+    shared = shared or os.environ.get("PUSTAKA_SHARED")
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -24,15 +29,15 @@ def get_spark(app: str = "pustaka", cores: str = "*", shuffle: int = 8) -> Spark
         .config("spark.driver.memory", os.environ.get("PUSTAKA_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(spark, "_pustaka_shared", None) or "file://" + tempfile.mkdtemp(prefix="pustaka-")
         spark._pustaka_shared = path
@@ -52,19 +57,35 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts() -> None:
-    """Deletes the tables that cut() wrote; results that still read them must be written before."""
-    while _MADE:
+def drop_cuts(since: int = 0) -> None:
+    """Deletes the tables that cut() wrote, or those it wrote after the first `since`; results that still read them must be written before."""
+    while len(_MADE) > since:
         spark, path = _MADE.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone
-            pass
+        context = spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():  # the session is gone, and its temporary tables with it
+            continue
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-atexit.register(drop_cuts)
+@contextmanager
+def tables_for_one_query() -> Iterator[None]:
+    """Drops at its end the tables that were cut within it, so that a long session does not fill the disk; the result is written inside."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        drop_cuts(before)
+
+
+def _at_exit() -> None:
+    try:
+        drop_cuts()
+    except Exception:  # the JVM may have ended first; nothing else can be done then
+        pass
+
+
+atexit.register(_at_exit)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
