@@ -41,3 +41,14 @@ def stated_marks(text: Column) -> Column:
 def stated_words(text: Column) -> Column:
     """The word limit a question states in itself, or ''."""
     return F.regexp_extract(text, r"(?i)(\d{2,3})\s*words?\b", 1)
+
+
+#: Characters of a lead at most, and at least where it ends at a space. Fixed values.
+LEAD, LEAST_LEAD = 250, 150
+
+
+def lead_length(text: Column) -> Column:
+    """Where a long text is cut: at the last space within its first LEAD characters, if that is not too near the start, else at LEAD."""
+    head = F.substring(text, 1, LEAD + 1)
+    at = F.length(head) - F.instr(F.reverse(head), " ")
+    return F.when((F.instr(head, " ") > 0) & (at >= LEAST_LEAD), at).otherwise(LEAD)

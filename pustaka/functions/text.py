@@ -148,6 +148,11 @@ def starts_word(text: Column, term: str) -> Column:
     return text.rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){term}(?![\p{{L}}\p{{M}}\p{{N}}{end}])")
 
 
+def words_in_row(text: Column) -> Column:
+    """The words of a lower-case text with one space before each."""
+    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1), " "))
+
+
 def has_phrase(text: Column, terms: list[str]) -> Column:
     """Whether the terms stand side by side among the words of a lower-case text; the last may be the start of a word."""
-    return F.contains(F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1), " ")), F.lit(" " + " ".join(terms)))
+    return F.contains(words_in_row(text), F.lit(" " + " ".join(terms)))

@@ -40,9 +40,8 @@ def copies(rows: DataFrame) -> DataFrame:
 def facets(df: DataFrame, by: list[str]) -> DataFrame:
     """(facet, value, n): counts by each column, in one pass over df."""
     sets = ", ".join(f"({c})" for c in by)
-    df.createOrReplaceTempView("pustaka_facets")
     label = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by) + " END"
-    out = df.sparkSession.sql(f"SELECT {label} AS facet, coalesce({', '.join(f'cast({c} AS string)' for c in by)}) AS value, count(*) AS n FROM pustaka_facets GROUP BY GROUPING SETS ({sets})")
+    out = df.sparkSession.sql(f"SELECT {label} AS facet, coalesce({', '.join(f'cast({c} AS string)' for c in by)}) AS value, count(*) AS n FROM {{df}} GROUP BY GROUPING SETS ({sets})", df=df)
     return out.filter("value IS NOT NULL")
 
 

@@ -56,3 +56,36 @@ def pairs_by_place(old: DataFrame, new: DataFrame, on: list[str], old_id: str, n
     """(on, old_id, new_id): the i-th of one side with the i-th of the other, in groups of like count."""
     rank = lambda d, c: d.withColumn("place", F.row_number().over(Window.partitionBy(*on).orderBy(c))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*on)))
     return rank(old, old_id).join(rank(new, new_id), [*on, "place", "n"]).select(*on, old_id, new_id)
+
+
+# How addresses of a file service are written.
+DRIVE_FILE, DRIVE_FOLDER, DRIVE_OPEN = r"drive\.google\.com/file/d/([^/?]+)", r"drive\.google\.com/(?:drive/(?:u/\d+/)?folders|drive/folders)/([^/?]+)", r"drive\.google\.com/open\?id=([^&]+)"
+DRIVE_FETCH = "https://drive.google.com/uc?export=download&id="
+
+
+def fetched_from(url: Column, moved: Column) -> list[Column]:
+    """[fetch_url, note]: where a link is fetched from; a folder has to be listed first and has no address of its own."""
+    one = lambda p: F.concat(F.lit(DRIVE_FETCH), F.regexp_extract(url, p, 1))
+    to = F.when(moved.isNotNull(), moved).when(url.rlike(DRIVE_FILE), one(DRIVE_FILE)).when(url.rlike(DRIVE_FOLDER), F.lit(None).cast("string")).when(url.rlike(DRIVE_OPEN), one(DRIVE_OPEN)).otherwise(url)
+    note = F.when(moved.isNotNull(), "moved").when(url.rlike(DRIVE_FILE), "drive-file").when(url.rlike(DRIVE_FOLDER), "drive-folder").when(url.rlike(DRIVE_OPEN), "drive-open").otherwise("direct")
+    return [to.alias("fetch_url"), note.alias("note")]
+
+
+def outcomes(old: DataFrame, new: DataFrame, on: list[str], old_id: str, new_id: str) -> DataFrame:
+    """(on, old_id, new_id, outcome): what becomes of each old member, and the new ones of groups that had none.
+
+    The i-th old one goes with the i-th new one where a group has as many of both, unless their years (old_year, new_year) differ or
+    the new one is not available: paired, year mismatch, no file, count mismatch, no new, fresh.
+    """
+    rank = lambda d, c, n: d.withColumn("place", F.row_number().over(Window.partitionBy(*on).orderBy(c))).withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*on)))
+    sizes = new.groupBy(*on).agg(F.count(F.lit(1)).alias("size"))
+    j = rank(old, old_id, "n_old").join(sizes, on, "left").join(rank(new, new_id, "n_new").drop("n_new"), [*on, "place"], "left")
+    why = (
+        F.when(F.col("size").isNull(), "no new")
+        .when(F.col("size") != F.col("n_old"), "count mismatch")
+        .when(F.col("old_year").isNotNull() & ~F.col("old_year").eqNullSafe(F.col("new_year")), "year mismatch")
+        .when(~F.col("available"), "no file")
+        .otherwise("paired")
+    )
+    fresh = new.join(old.select(*on).distinct(), on, "left_anti").select(*on, F.lit(None).cast(old.schema[old_id].dataType).alias(old_id), new_id, F.lit("fresh").alias("outcome"))
+    return j.select(*on, old_id, F.when(why == "paired", F.col(new_id)).alias(new_id), why.alias("outcome")).unionByName(fresh)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Rounds after which unique_slugs gives up.
-MOST_ROUNDS = 1000
+
+def _with_text(df: DataFrame, text: str) -> StructType:
+    """The columns of df and a text."""
+    return StructType([*df.schema.fields, StructField(text, StringType())])
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
@@ -45,20 +49,58 @@ def within_capacity(df: DataFrame, by: list[str], order: list[str], size: str, c
 
 
 def unique_slugs(df: DataFrame, slug: str, order: str) -> DataFrame:
-    """Adds `unique_slug`: the slug for the first that has it, then slug-2, slug-3 and so on; where that is another slug by nature or
-    was made for an earlier row, -2 is appended, until no two rows clash.
+    """Adds `unique_slug`: in the order of the rows, each takes its slug, or the first of slug-2, slug-3 and so on that no earlier row has taken.
 
-    A row that keeps its natural slug always holds it. Of made slugs that are equal, the one made of the longest slug stays, then the
-    first in the order; each round lengthens the others, so the rounds end, and it fails if MOST_ROUNDS do not do.
+    What a row takes depends only on rows of its family, the slugs that are one after closing numbers are taken off; so a family is numbered
+    in order by itself. A slug whose family has no other slug is numbered by its place alone, however many rows it has; only families in which
+    slugs can meet are walked through, and of these only rows of slugs that another one of the family can be taken for.
     """
-    from pustaka.session import cut
+    stem = F.regexp_replace(slug, r"(?:-\d+)+$", "")
+    kinds = df.select(slug, stem.alias("__stem")).distinct().groupBy("__stem").agg(F.count(F.lit(1)).alias("__kinds")).filter("__kinds > 1").select("__stem", F.lit(True).alias("__mixed"))
+    d = df.withColumn("__stem", stem).join(kinds, "__stem", "left")
+    alone = d.filter("__mixed IS NULL").withColumn("__k", F.row_number().over(Window.partitionBy(slug).orderBy(order)))
+    alone = alone.withColumn("unique_slug", F.when(F.col("__k") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("__k")))).drop("__k", "__stem", "__mixed")
+    out, columns = _with_text(df, "unique_slug"), list(df.columns)
+
+    def walk(batches):
+        taken: set[str] = set()
+        after: dict[str, int] = {}
+        family = None
+        for b in batches:
+            made = []
+            for f, s in zip(b.column(b.schema.get_field_index("__stem")).to_pylist(), b.column(b.schema.get_field_index(slug)).to_pylist(), strict=True):
+                if f != family:
+                    family, taken, after = f, set(), {}
+                new = s
+                while new in taken:
+                    after[s] = after.get(s, 1) + 1
+                    new = f"{s}-{after[s]}"
+                taken.add(new)
+                made.append(new)
+            keep = [b.column(b.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(made, pa.string())], names=[*columns, "unique_slug"])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = d.filter("__mixed").drop("__mixed").repartition(parts, "__stem").sortWithinPartitions("__stem", order).mapInArrow(walk, out)
+    return alone.select(*df.columns, "unique_slug").union(mixed)
 
-    taken = df.withColumn("__k", F.row_number().over(Window.partitionBy(slug).orderBy(order)))
-    out = taken.withColumn("unique_slug", F.when(F.col("__k") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("__k"))))
-    first = [F.col("__k") > 1, F.desc(F.length(slug)), F.col(order)]
-    for _ in range(MOST_ROUNDS):
-        out = cut(out.withColumn("__at", F.row_number().over(Window.partitionBy("unique_slug").orderBy(*first))), "slugs")
-        if not out.filter("__at > 1").limit(1).count():
-            return out.drop("__k", "__at")
-        out = out.withColumn("unique_slug", F.when(F.col("__at") > 1, F.concat("unique_slug", F.lit("-2"))).otherwise(F.col("unique_slug"))).drop("__at")
-    raise RuntimeError("slugs did not become unique")
+
+def alike_in_group(left: DataFrame, right: DataFrame, group: str, row_id: str, page: str, words: str, near: float, far: float) -> DataFrame:
+    """(row_id, hit): the rows of the left side whose words overlap (shared by all) with those of a row of the right side of their group by `near` on the
+    same page, or by `far` anywhere in the group.
+
+    Of n words, the rarest n - ceil(near * n) + 1 are tried, one of which any such partner holds; rare words keep a large group's pairs few.
+    """
+    both = left.select(group, words).union(right.select(group, words))
+    freq = both.select(group, F.explode(words).alias("word")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("c"))
+
+    def tried(df: DataFrame) -> DataFrame:
+        each = df.select(group, row_id, F.size(words).alias("n"), F.explode(words).alias("word")).join(freq, [group, "word"])
+        rarest = each.groupBy(group, row_id, "n").agg(F.array_sort(F.collect_list(F.struct("c", "word"))).alias("l"))
+        return rarest.select(group, row_id, F.explode(F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(near)) + 1).cast("int"))).alias("x")).select(group, row_id, "x.word")
+
+    pairs = tried(left).withColumnRenamed(row_id, "__a").join(tried(right).withColumnRenamed(row_id, "__b"), [group, "word"]).select("__a", "__b").distinct()
+    full = pairs.join(left.select(F.col(row_id).alias("__a"), F.col(page).alias("__pa"), F.col(words).alias("__wa")), "__a").join(right.select(F.col(row_id).alias("__b"), F.col(page).alias("__pb"), F.col(words).alias("__wb")), "__b")
+    shared = F.size(F.array_intersect("__wa", "__wb"))
+    least = F.when(F.col("__pa") == F.col("__pb"), F.lit(near)).otherwise(F.lit(far)).cast("decimal(5,4)")
+    return full.filter(shared >= least * (F.size("__wa") + F.size("__wb") - shared)).select(F.col("__a").alias(row_id)).distinct().withColumn("hit", F.lit(True))

@@ -53,7 +53,15 @@ def cut_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (fragment_router, question_confidence, keyword_topk_classes, syllabus_node_counts, quality_gate_reasons, paper_audit_votes, cut_stitch)}
 
-_DIRECTIVE, _OPENER = C.DIRECTIVE.replace("'", "''"), C.OPENER
+# Fixed values, written out, so that the twins do not rest on the code they check.
+_DIRECTIVE = (
+    r"(?i)\b(?:discuss|examine|analyse|analyze|elucidate|evaluate|comment|critically|substantiate|illustrate|justify|explain|describe|suggest|highlight|enumerate|do you agree|to what extent|account for|bring out)\b"
+)
+_OPENER = (
+    r"(?i)^\s*(?:so|now|then|thus|hence|however|moreover|furthermore|therefore|also|having discussed|now having|as discussed|from the above|in conclusion|to conclude|why (?:still|is it still)|what (?:is|was) the result|how did it|how can we|can it be said|is there a way)\b"
+)
+_ETHICS = r"(?i)\b(?:ethic|ethical|integrity|probity|conscience|moral|dilemma|whistle ?blow|corrupt|values?|emotional intelligence|case study|civil servant)\b"
+_ESSAY_VERB = r"(?i)\b(?:discuss|examine|analyse|analyze|elucidate|comment|evaluate)\b"
 _SAME = "|".join(f"{c}{{5,}}" for c in [r"\." if c == "." else rf"\{c}" if c in r"\^$|?*+()[]{}-" else c.replace("'", "''") for c in map(chr, range(32, 127))])
 _LETTERS = r"length(regexp_replace(coalesce(question, ''), '[^\p{L}\p{N}]+', '', 'g'))"
 _CLASSES = (
@@ -88,9 +96,9 @@ SELECT ocr_id, CASE WHEN length(t) < 35 THEN 'too short' WHEN length(t) > 900 TH
     + rf""", t AS (SELECT ord AS key, paper, question AS text FROM src WHERE question IS NOT NULL),
 k AS (SELECT t.key, t.paper, n.paper AS np, max(list_sum(list_transform(n.kw, lambda w: CASE WHEN contains(lower(text), w) THEN least(length(w), 24) ELSE 0 END))) AS score FROM t, syllabus_nodes n WHERE t.paper LIKE 'GS_' AND n.paper LIKE 'GS_' GROUP BY ALL),
 b AS (SELECT key, arg_max(np, (score, -right(np, 1)::INT)) AS top, max(score) AS ts, max(CASE WHEN np = paper THEN score ELSE 0 END) AS own FROM k GROUP BY key),
-v AS (SELECT t.key, paper, CASE WHEN ts >= 16 AND ts > 2 * own THEN top END AS by_words, regexp_matches(text, '{C.ETHICS}') AS e, text FROM t LEFT JOIN b USING (key)),
+v AS (SELECT t.key, paper, CASE WHEN ts >= 16 AND ts > 2 * own THEN top END AS by_words, regexp_matches(text, '{_ETHICS}') AS e, text FROM t LEFT JOIN b USING (key)),
 x AS (SELECT key, paper, by_words, CASE WHEN e AND paper NOT IN ('GS4', 'Essay') THEN 'GS4' WHEN NOT e AND paper = 'GS4' AND length(text) > 120 THEN 'not GS4' END AS by_ethics,
-  CASE WHEN NOT contains(text, '?') AND length(text) < 160 AND NOT regexp_matches(text, '{C.ESSAY_VERB}') AND paper <> 'Essay' AND length(text) > 20 THEN 'Essay' END AS by_shape FROM v),
+  CASE WHEN NOT contains(text, '?') AND length(text) < 160 AND NOT regexp_matches(text, '{_ESSAY_VERB}') AND paper <> 'Essay' AND length(text) > 20 THEN 'Essay' END AS by_shape FROM v),
 y AS (SELECT *, list_filter([by_words, nullif(by_ethics, 'not GS4'), by_shape], lambda z: z IS NOT NULL) AS votes FROM x)
 SELECT key, paper, by_words, by_ethics, by_shape, CASE WHEN len(votes) >= 2 THEN votes[1] END AS suggest FROM y WHERE by_words IS NOT NULL OR by_ethics IS NOT NULL OR by_shape IS NOT NULL""",
     "cut_stitch": r"""WITH q AS (SELECT unit_key, ocr_id, length(question) AS len, NOT regexp_matches(question, '[.?!।)\]M]\s*$') AS open FROM ocr_questions WHERE question IS NOT NULL AND unit_key IS NOT NULL),

@@ -79,8 +79,12 @@ SELECT l_suppkey, count(*) FILTER (running <= 2000) AS n_kept, count(*) FILTER (
 n AS (SELECT topper, count(*) AS n, {S.name_key("topper")} AS key FROM a WHERE topper IS NOT NULL GROUP BY topper),
 r AS (SELECT key, topper, n, row_number() OVER (PARTITION BY key ORDER BY NOT (regexp_matches(topper, '[a-z]') AND regexp_matches(topper, '[A-Z]')), len(list_filter(regexp_split_to_array(topper, '\s+'), lambda w: regexp_matches(w, '^[A-Z]'))) DESC, n DESC, topper) AS k FROM n WHERE key <> '')
 SELECT key, topper, n FROM r WHERE k = 1""",
-    "slug_suffix": f"""WITH n AS (SELECT topper, min(submission_id) AS ord, {S.slug("topper")} AS slug FROM submissions WHERE topper IS NOT NULL GROUP BY topper), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord) AS k FROM n)
-SELECT topper, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS unique_slug FROM r""",
+    "slug_suffix": rf"""WITH RECURSIVE n AS (SELECT topper, min(submission_id) AS ord, {S.slug("topper")} AS slug FROM submissions WHERE topper IS NOT NULL GROUP BY topper),
+r AS (SELECT *, regexp_replace(slug, '(?:-\d+)+$', '') AS stem, row_number() OVER (PARTITION BY regexp_replace(slug, '(?:-\d+)+$', '') ORDER BY ord) AS k FROM n),
+f AS (SELECT stem, k, topper, slug AS made, [slug] AS taken FROM r WHERE k = 1 UNION ALL
+  SELECT stem, k, topper, m, list_append(taken, m) FROM (SELECT r.stem, r.k, r.topper, f.taken, list_filter(list_transform(range(1, len(f.taken) + 2), lambda i: CASE WHEN i = 1 THEN r.slug ELSE r.slug || '-' || i END), lambda x: NOT list_contains(f.taken, x))[1] AS m
+    FROM f JOIN r ON r.stem = f.stem AND r.k = f.k + 1))
+SELECT topper, made AS unique_slug FROM f""",
     "browse_ranked": _COPIES
     + f""", p AS (SELECT {S.name_key("topper")} AS key, arg_min(air, rec_id) FILTER (air IS NOT NULL) AS air, arg_min(year, rec_id) FILTER (year IS NOT NULL) AS year FROM toppers WHERE {S.name_key("topper")} <> '' GROUP BY 1)
 SELECT base, topper, paper, n_rows, coalesce(year, 0) AS year, coalesce(nullif(air, 0), 1000000000) AS rank FROM copies LEFT JOIN p ON {S.name_key("copies.topper")} = p.key WHERE topper IS NOT NULL ORDER BY 5 DESC, 6, 2, 3, 1 LIMIT 50""",

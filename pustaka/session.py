@@ -6,7 +6,7 @@ import atexit
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 import uuid
 
@@ -57,6 +57,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that stay until the application ends, by what they were made of.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, what: str, make: Callable[[str], None]) -> str:
+    """The folder of a stored structure that several queries of an application read; `make` writes it where it is not there yet."""
+    key = (spark.sparkContext.applicationId, what)
+    if key not in _KEPT:
+        path = f"{shared_dir(spark)}/pustaka-kept-{uuid.uuid4().hex}"
+        make(path)
+        _KEPT[key] = path
+    return _KEPT[key]
+
+
 def drop_cuts(since: int = 0) -> None:
     """Deletes the tables that cut() wrote, or those it wrote after the first `since`; results that still read them must be written before."""
     while len(_MADE) > since:
@@ -80,6 +94,9 @@ def tables_for_one_query() -> Iterator[None]:
 
 def _at_exit() -> None:
     try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            _MADE.extend((spark, path) for path in _KEPT.values())
         drop_cuts()
     except Exception:  # the JVM may have ended first; nothing else can be done then
         pass

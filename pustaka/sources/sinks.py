@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pustaka.functions import text as T
@@ -46,3 +46,32 @@ def csv_field(c: Column) -> Column:
 def csv_lines(df: DataFrame, columns: list[str]) -> Column:
     """The columns of a row as a line of CSV."""
     return F.concat_ws(",", *[csv_field(F.col(c).cast("string")) for c in columns])
+
+
+def nested_by(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(key, n, doc): the rows of each key as a JSON array in an order, without fields that have no value. A key's rows are a person's copies, which
+    are few; a key that is not so bounded belongs in a table."""
+    one = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct(*fields)).alias("j"))
+    g = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(one)).alias("l"))
+    return g.select(key, "n", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("doc"))
+
+
+def write_map(rows: DataFrame, key: str, fields: list[str], path: str) -> None:
+    """One JSON map, an entry on a line of its own, in the order of the keys; the committer puts the file in its place as a whole."""
+    entry = F.concat(F.to_json(F.array(F.col(key))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key)))) - 2), F.lit(": "), F.to_json(F.struct(*fields)))
+    lines = rows.select(key, entry.alias("value")).orderBy(key)
+    last = rows.agg(F.max(key).alias("last"))
+    first = rows.agg(F.min(key).alias("first"))
+    body = lines.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(first))
+    text = F.concat(F.when(F.col(key) == F.col("first"), "{").otherwise(" "), "value", F.when(F.col(key) == F.col("last"), "}").otherwise(","))
+    body.coalesce(1).sortWithinPartitions(key).select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_map(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """The entries of a JSON map of any layout: (key, fields); names that begin with _ are notes and no entries. A missing file has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"{key} string, {schema}")
+    whole = spark.read.text(path, wholetext=True)
+    m = F.from_json("value", f"MAP<STRING, STRUCT<{', '.join(c.strip().replace(' ', ': ', 1) for c in schema.split(', '))}>>")
+    return whole.select(F.explode(m).alias(key, "v")).filter(~F.startswith(key, F.lit("_"))).select(key, "v.*")

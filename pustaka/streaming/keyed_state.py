@@ -87,3 +87,73 @@ def sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     """(key, start, end, n): stretches of a key's events with less than a gap between neighbours."""
     g = events.groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last_at"))
     return g.select(key, F.col("s.start").alias("start"), "last_at", "n")
+
+
+#: States of a file's life, and where each event takes it: a failure counts, and the third is the last. Fixed values.
+LIFE = ("pending", "failed 1", "failed 2", "failed 3", "ok", "gone", "archived")
+MOVES = {
+    "fetched": (4, 4, 4, 3, 4, 5, 6),
+    "failure": (1, 2, 3, 3, 4, 5, 6),
+    "missing": (5, 5, 5, 3, 5, 5, 6),
+    "saved": (0, 1, 2, 3, 6, 6, 6),
+    "verify": (0, 0, 0, 0, 0, 0, 6),
+}
+#: Events of a key that are put together in one step.
+CHUNK = 10_000
+
+
+def lifecycle(events: DataFrame, key: str, order: list[str], event: Column, chunk: int = CHUNK) -> DataFrame:
+    """(key, state, n_events): where its events, in order, bring each file; events of other names leave it where it is.
+
+    An event is a map from states to states, and maps are put together in any grouping: first those of each stretch of a key's events, then
+    those of the stretches. So no task holds more than `chunk` events of a key, nor more than a key's stretches.
+    """
+    table = F.array(*[F.array(*[F.lit(x) for x in m]) for m in (tuple(range(len(LIFE))), *MOVES.values())])
+    no = F.lit(0)
+    for i, name in enumerate(MOVES):
+        no = F.when(event == name, i + 1).otherwise(no)
+    e = events.select(key, F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("__at"), no.alias("__no"))
+    start = F.array(*[F.lit(i) for i in range(len(LIFE))])
+    then = lambda maps: F.aggregate(maps, start, lambda acc, x: F.transform(acc, lambda s: F.get(x, s)))
+    parts = e.groupBy(key, F.floor((F.col("__at") - 1) / chunk).alias("__part")).agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("__at", "__no"))), lambda x: F.get(table, x["__no"])).alias("maps"))
+    steps = parts.select(key, "__part", "n", then(F.col("maps")).alias("map"))
+    whole = steps.groupBy(key).agg(F.sum("n").alias("n_events"), F.transform(F.array_sort(F.collect_list(F.struct("__part", "map"))), lambda x: x["map"]).alias("maps"))
+    return whole.select(key, F.get(F.array(*[F.lit(s) for s in LIFE]), F.get(then(F.col("maps")), F.lit(0))).alias("state"), "n_events")
+
+
+def lifecycle_stream(events: DataFrame, key: str, order: str, event: Column) -> DataFrame:
+    """As lifecycle(), over a stream: one row per key and batch. Within a batch events go by `order`; a batch must not hold events older than those before it."""
+    moves, states = dict(MOVES), LIFE
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, n = state.get if state.exists else (0, 0)
+        for name in pd.concat(list(batches)).sort_values("__order")["__event"]:
+            at = moves[name][at] if name in moves else at
+            n += 1
+        state.update((int(at), int(n)))
+        yield pd.DataFrame([[k[0], states[at], n]], columns=[key, "state", "n_events"])
+
+    slim = events.select(F.col(key), F.col(order).alias("__order"), event.alias("__event"))
+    return slim.groupBy(key).applyInPandasWithState(step, f"{key} long, state string, n_events long", "at int, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def resume(stream: DataFrame, key: list[str], done: str, work, checkpoint: str):
+    """Works a stream of pages off, each once: what is in the table `done` (by key) is passed over, and what a batch gives is added to it with the
+    batch's number, so that a batch that is repeated after a failure replaces its own rows. `work` takes and gives a DataFrame with the key."""
+
+    def batch(df: DataFrame, no: int) -> None:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(done)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        fresh = df.dropDuplicates(key)
+        if there:
+            fresh = fresh.join(spark.read.parquet(done).filter(F.col("batch") != no).select(*key), key, "left_anti")
+        work(fresh).write.mode("overwrite").parquet(f"{done}/batch={no}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def seen_ring(events: DataFrame, key: str, order: list[str], item: str, size: int = 600) -> DataFrame:
+    """(key, item): the last `size` different items of each key; Spark keeps no more of a key in any task."""
+    last = events.groupBy(key, item).agg(F.max(F.struct(*order)).alias("__last"))
+    return last.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__last"), item))).filter(F.col("__k") <= size).select(key, item)

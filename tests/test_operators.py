@@ -27,6 +27,22 @@ def test_containment_fold(spark):
     assert host == {texts[0]: texts[0], B: texts[2], texts[2]: texts[2], texts[3]: texts[3]}
 
 
+def test_containment_against_a_loop(spark):
+    import re
+
+    rng = random.Random(12)
+    tails = [" ".join(rng.choice(["deltas", "hills", "2 it", "q 7 towns", "ports", B]) for _ in range(rng.randrange(0, 5))) for _ in range(160)]
+    texts = sorted({f"{B} {t}".strip()[: rng.randrange(60, 400)].strip() for t in tails} | {"short", B[:59], B[:60]})
+    kept, want = [], {}
+    for n in sorted(texts, key=lambda n: (-len(n), n)):
+        at = next((k for k in kept if n[:60] == k[:60] and n in k and not re.match(r"\s*(?:q(?:uestion)? )?\d{1,2} ", k[k.index(n) + len(n) :])), None)
+        if at is None:
+            kept.append(n)
+        want[n] = at or n
+    got = {r["norm"]: r["host"] for r in D.contained(spark.createDataFrame([("GS1", t) for t in texts], "paper string, norm string")).collect()}
+    assert got == want and len(set(want.values())) < len(want) - 20
+
+
 def test_near_same():
     def same(a, b):
         w = [[x for x in dict.fromkeys(t.lower().split()) if len(x) > 2 and x not in D.STOP and not x.isdigit()] for t in (a, b)]
@@ -144,18 +160,26 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_unique_slugs(spark):
-    df = spark.createDataFrame([(1, "a-b"), (2, "a-b"), (3, "a-b-2"), (4, "a-b")], "ord int, slug string")
-    got = {r["ord"]: r["unique_slug"] for r in R.unique_slugs(df, "slug", "ord").collect()}
-    assert got[1] == "a-b" and got[3] == "a-b-2" and len(set(got.values())) == 4
+def slug_loop(slugs):
+    taken, out = set(), []
+    for s in slugs:
+        new, k = s, 1
+        while new in taken:
+            k += 1
+            new = f"{s}-{k}"
+        taken.add(new)
+        out.append(new)
+    return out
 
 
-def test_unique_slugs_counts_made_ones_as_taken(spark):
-    slugs = ["a", "a", "a-2", "a-2", "b", "b", *["b" + "-2" * k for k in range(1, 13)]]
-    df = spark.createDataFrame(list(enumerate(slugs)), "ord int, slug string")
-    got = {r["ord"]: r["unique_slug"] for r in R.unique_slugs(df, "slug", "ord").collect()}
-    assert len(set(got.values())) == len(slugs)
-    assert all(got[i] == s for i, s in enumerate(slugs) if s not in slugs[:i])
+def test_unique_slugs(spark):
+    rng = random.Random(3)
+    cases = [["a-b", "a-b", "a-b-2", "a-b"], ["a-b", "a-b", "a-b-2", "a-b-2"], ["a", "a", "a-2", "a-2", "b", "b", *["b" + "-2" * k for k in range(1, 13)]], [rng.choice(["x", "x-2", "x-2-2", "x-3", "y", "z-1"]) for _ in range(80)]]
+    assert slug_loop(cases[0]) == ["a-b", "a-b-2", "a-b-2-2", "a-b-3"]
+    for slugs in cases:
+        df = spark.createDataFrame(list(enumerate(slugs)), "ord int, slug string")
+        got = {r["ord"]: r["unique_slug"] for r in R.unique_slugs(df, "slug", "ord").collect()}
+        assert [got[i] for i in range(len(slugs))] == slug_loop(slugs)
 
 
 def test_round_robin(spark):
@@ -225,3 +249,104 @@ def test_parts_and_index_round_trip(spark, tmp_path):
 def test_low_yield(spark):
     df = spark.createDataFrame([("g", n) for n in (20, 22, 24, 5, 13)], "g string, n int")
     assert {r["n"]: (r["median"], r["low"]) for r in low_yield(df, "g", "n").collect()} == {n: (20.0, n == 5) for n in (20, 22, 24, 5, 13)}
+
+
+def test_stored_index(spark, tmp_path):
+    """A stored index gives what one made for the query gives, reads the shelves of the query's terms only, and is of one build."""
+    from conftest import DATA
+
+    from pustaka.operators import aggregates as A
+    from pustaka.sources.corpus import source_rows
+
+    rows = source_rows(spark, DATA)
+    I.build(rows, A.copies(rows), str(tmp_path / "ix"), "one")
+    ix = I.Stored(spark, str(tmp_path / "ix"))
+    for request in (I.SearchRequest("feder grant"), I.SearchRequest("two sides", "exact"), I.SearchRequest("e", page=2), I.SearchRequest("")):
+        want = I.search(I.questions(rows), I.refs(rows), A.copies(rows), request).collect()
+        assert I.search(ix.questions, ix.refs, ix.copies, request, ix.of(request.terms)).collect() == want
+    assert len(ix.of(["federal"]).inputFiles()) < len(ix.all.inputFiles()) or "shelf" in ix.of(["federal"])._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in ix.stamps().collect()] == [("one", 4)]
+
+
+def test_requests_of_addresses():
+    r = I.request_of({"q": "x" * 300, "mode": "exact", "paper": "GS1", "topper": "y" * 99, "page": "0"})
+    assert (len(r.text), r.mode, r.facets["paper"], len(r.facets["topper"]), r.page) == (200, "exact", "GS1", 60, 1)
+    assert I.request_of({"mode": "any"}) == I.SearchRequest("")
+
+
+def test_maps_are_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([('a"b', 1, None), ("b", 2, "x\ny"), ("_note", 3, "z")], "name string, n int, t string")
+    sinks.write_map(rows, "name", ["n", "t"], str(tmp_path / "m"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "m")).collect())
+    import json
+
+    assert json.loads(text) == {'a"b': {"n": 1}, "b": {"n": 2, "t": "x\ny"}, "_note": {"n": 3, "t": "z"}}
+    got = {(r["name"], r["n"], r["t"]) for r in sinks.read_map(spark, str(tmp_path / "m"), "name", "n int, t string").collect()}
+    assert got == {('a"b', 1, None), ("b", 2, "x\ny")}
+    assert sinks.read_map(spark, str(tmp_path / "none"), "name", "n int").count() == 0
+
+
+def test_where_links_are_fetched_from(spark):
+    cases = {
+        "https://drive.google.com/file/d/AB_1/view?x": ("https://drive.google.com/uc?export=download&id=AB_1", "drive-file"),
+        "https://drive.google.com/drive/u/0/folders/XY": (None, "drive-folder"),
+        "https://drive.google.com/open?id=Q9&a=1": ("https://drive.google.com/uc?export=download&id=Q9", "drive-open"),
+        "https://a.example/x.pdf": ("https://a.example/x.pdf", "direct"),
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", *J.fetched_from(F.col("u"), F.lit(None).cast("string")))
+    assert {r["u"]: (r["fetch_url"], r["note"]) for r in df.collect()} == cases
+
+
+def test_holders_against_all_pairs(spark):
+    rng = random.Random(4)
+    w = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    docs, items = [(i, w(rng.randrange(1, 60))) for i in range(80)], [(i, w(rng.randrange(1, 8))) for i in range(120)]
+    items += [(500, docs[3][1]), (501, " ".join(docs[5][1].split(" ")[2:12]))]
+    got = {(r["d"], r["i"]) for r in D.holders(spark.createDataFrame(docs, "d int, norm string"), spark.createDataFrame(items, "i int, norm string"), "d", "i").collect()}
+    assert got == {(d, i) for d, t in docs for i, x in items if len(x.split(" ")) >= 5 and f" {x} " in f" {t} "}
+
+
+def test_alike_in_a_group_against_all_pairs(spark):
+    rng = random.Random(9)
+    vocab = [f"word{k}" for k in range(14)]
+    rows = [(i, f"g{i % 2}", i % 3 if i % 7 else None, rng.sample(vocab, rng.randrange(1, 9))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, g string, page int, w array<string>")
+    left, right = df.filter("id < 60"), df.filter("id >= 60")
+    got = {r["id"] for r in R.alike_in_group(left, right, "g", "id", "page", "w", 0.6, 0.72).collect()}
+
+    def alike(a, b):
+        x, y = set(a[3]), set(b[3])
+        least = 0.6 if a[2] is not None and a[2] == b[2] else 0.72
+        return a[1] == b[1] and len(x & y) >= least * len(x | y) - 1e-9
+
+    assert got == {a[0] for a in rows[:60] if any(alike(a, b) for b in rows[60:])} and 0 < len(got) < 60
+
+
+def test_extracted_questions():
+    from pustaka.functions.extract import question_text, questions_of
+
+    assert question_text("Q.3) Discuss the role of rivers in towns. (150 words) Ans: They") == "Discuss the role of rivers in towns. (150 words)"
+    assert question_text("Why did river towns grow so fast? Introduction") == "Why did river towns grow so fast?"
+    assert question_text("Explain the growth of river towns. Introduction - they") == "Explain the growth of river towns"
+    page = "1. Explain river towns in the plains\n2) Discuss water policy in hills\nQ3 Examine trade in the coast\nwith examples"
+    assert list(questions_of(page)) == ["Explain river towns in the plains", "Discuss water policy in hills", "Examine trade in the coast with examples"]
+    assert list(questions_of("Page 3\n\nDiscuss how the river towns of the plains grew\nin time?")) == ["Discuss how the river towns of the plains grew in time?"]
+    assert list(questions_of("")) == [] and list(questions_of("no question here")) == []
+
+
+def test_everything_merged_keeps_marks_years_and_copies(spark):
+    t = "explain river basin water policy reform"
+    rows = [
+        (1, f"Q1. {t}", "", "", "GS1", "u1", "question", 2019),
+        (2, f"{t}?", "10", "", "GS1", "u2", "question", 2020),
+        (3, f"{t} in coastal districts", "", "150", "GS1", "u3", "question", None),
+        (4, f"{t} in coastal districts and beyond", "15", "", "GS1", "u1", "question", 2021),
+        (5, "so it was", "", "", "GS1", "u1", "fragment", 2021),
+        (6, None, "", "", "GS1", "u1", "question", 2021),
+    ]
+    df = spark.createDataFrame(rows, "ord long, question string, marks string, words string, paper string, base string, kind string, year int")
+    got = {(r["kind"], r["norm"]): (r["n_refs"], r["n_texts"], r["n_copies"], r["marks"], r["words"], r["years"]) for r in D.all_merged(df).collect()}
+    assert sum(v[0] for v in got.values()) == 5 and got[("fragment", "so it was")] == (1, 1, 1, "", "", "2021")
+    # the third lies in the fourth; that shares a copy with the first, and so is not merged into it
+    assert got[("question", t)] == (2, 1, 2, "10", "", "2019,2020")
+    assert got[("question", f"{t} in coastal districts and beyond")] == (2, 2, 2, "15", "150", "2021")

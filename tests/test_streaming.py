@@ -41,3 +41,36 @@ def test_tumbling_stream_with_watermark(spark, tmp_path):
     s.writeStream.format("memory").queryName("tumble").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     key = lambda df: {(r["start"], r["event_type"]): r["n"] for r in df.collect()}
     assert key(spark.table("tumble")) == key(K.tumbling(e, "ts", "event_type", "1 day"))
+
+
+def test_lifecycle_in_small_chunks_and_as_a_stream(spark, tmp_path):
+    e = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("what", F.element_at(F.array(*[F.lit(x) for x in ("fetched", "failure", "missing", "saved", "verify", "other")]), (F.col("event_id") % 6 + 1).cast("int")))
+    rows = sorted((r["user_id"], r["event_id"], r["what"]) for r in e.collect())
+    want = {}
+    for user, _, what in rows:
+        at, n = want.get(user, (0, 0))
+        want[user] = (K.MOVES[what][at] if what in K.MOVES else at, n + 1)
+    want = {u: (K.LIFE[at], n) for u, (at, n) in want.items()}
+    for chunk in (3, 10_000):
+        assert {r["user_id"]: (r["state"], r["n_events"]) for r in K.lifecycle(e, "user_id", ["event_id"], F.col("what"), chunk).collect()} == want
+    src = str(tmp_path / "in")
+    e.coalesce(1).write.parquet(src)
+    q = K.lifecycle_stream(spark.readStream.schema(e.schema).parquet(src), "user_id", "event_id", F.col("what"))
+    q.writeStream.format("memory").queryName("life").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {r["user_id"]: (r["state"], r["n_events"]) for r in spark.table("life").collect()} == want
+
+
+def test_pages_are_worked_off_once(spark, tmp_path):
+    src, done = str(tmp_path / "in"), str(tmp_path / "done")
+    schema = "job long, page int, text string"
+    go = lambda: K.resume(spark.readStream.schema(schema).parquet(src), ["job", "page"], done, lambda df: df.withColumn("n", F.length("text")), str(tmp_path / "cp")).awaitTermination()
+    spark.createDataFrame([(1, 1, "a"), (1, 2, "bb"), (1, 2, "bb")], schema).coalesce(1).write.parquet(src)
+    go()
+    spark.createDataFrame([(1, 2, "bb"), (2, 1, "ccc")], schema).coalesce(1).write.mode("append").parquet(src)
+    go()
+    assert sorted((r["job"], r["page"], r["n"]) for r in spark.read.parquet(done).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 3)]
+
+
+def test_the_last_seen(spark):
+    df = spark.createDataFrame([(1, i, i % 5) for i in range(20)] + [(2, 1, None)], "k long, at long, item int")
+    assert {(r["k"], r["item"]) for r in K.seen_ring(df, "k", ["at"], "item", 3).collect()} == {(1, 4), (1, 3), (1, 2), (2, None)}
