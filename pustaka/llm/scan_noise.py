@@ -47,17 +47,16 @@ def _words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}]+", " "))
 
 
-def _may_be_header(line: Column) -> Column:
+def _may_be_header(line: Column, words: Column) -> Column:
     """Some letters, no note on words or marks, and no end of a sentence or clause."""
-    return (F.length(_words_only(line)) >= 6) & ~line.rlike(_NOTE) & ~line.rlike(r"[.?!।),;:]\s*$")
+    return (F.length(words) >= 6) & ~line.rlike(_NOTE) & ~line.rlike(r"[.?!।),;:]\s*$")
 
 
-def _form(line: Column, source: Column, unit: Column, paper: Column) -> Column:
-    """A line with digits, the publisher's name, the paper and single letters taken out."""
-    x = F.concat(F.lit(" "), _words_only(line), F.lit(" "))
-    for name, mark in ((source, " S "), (F.split_part(unit, F.lit(":"), F.lit(1)), " S "), (paper, " P ")):
-        n = F.concat(F.lit(" "), _words_only(F.coalesce(name, F.lit("\u0001"))), F.lit(" "))
-        x = F.when(F.length(F.trim(n)) > 1, F.replace(x, n, F.lit(mark))).otherwise(x)
+def _form(words: Column, names: list[tuple[Column, str]]) -> Column:
+    """The words of a line with the names (of its publisher and paper) and single letters taken out."""
+    x = F.concat(F.lit(" "), words, F.lit(" "))
+    for n, mark in names:
+        x = F.when(F.length(n) > 1, F.replace(x, F.concat(F.lit(" "), n, F.lit(" ")), F.lit(mark))).otherwise(x)
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?<= )\p{Ll}(?= )", " "), r"\s+", " "))
 
 
@@ -71,17 +70,20 @@ def line_kinds(df: DataFrame, row_id: str = "ocr_id", text: str = "question") ->
     Each line is looked at once. Of those that may be headers only the form and a hash of the longest other line beside it are kept, so that
     no text of a question is shuffled.
     """
-    feats = F.transform("ls", lambda x: F.struct(x.rlike(_PAGE).alias("page_form"), _may_be_header(x).alias("may"), F.length(x).alias("len"), F.xxhash64(x).alias("hash")))
-    rows = _lines(df, row_id, text).withColumn("feats", feats)
+    # names are put into words once a row, lines once each
+    named = _lines(df, row_id, text).withColumns({"w_source": _words_only(F.coalesce("source", F.lit(""))), "w_unit": _words_only(F.coalesce(F.split_part("unit_key", F.lit(":"), F.lit(1)), F.lit(""))), "w_paper": _words_only(F.coalesce("paper", F.lit("")))})
+    worded = named.withColumn("ws", F.transform("ls", lambda x: F.struct(x.alias("line"), _words_only(x).alias("words"))))
+    feats = F.transform("ws", lambda e: F.struct(e["line"].alias("line"), e["words"].alias("words"), e["line"].rlike(_PAGE).alias("page_form"), _may_be_header(e["line"], e["words"]).alias("may"), F.length(e["line"]).alias("len"), F.xxhash64(e["line"]).alias("hash")))
+    rows = worded.withColumn("feats", feats)
     # the longest lines, those that can be no header first; of a text's two, a line is beside the one that it is not
     by_length = F.array_sort(F.array_distinct(F.transform(F.filter("feats", lambda f: ~f["page_form"]), lambda f: F.struct(f["may"].alias("may"), (-f["len"]).alias("n"), f["hash"].alias("hash")))))
     two = rows.withColumn("longest", F.slice(by_length, 1, 2)).select("*", F.get("longest", F.lit(0))["hash"].alias("first"), F.get("longest", F.lit(1))["hash"].alias("second"))
-    each = two.select("ocr_id", F.size("ls").alias("n_lines"), "first", "second", "unit_key", "source", "paper", "page", F.posexplode(F.arrays_zip("ls", "feats")).alias("pos", "x"))
-    lines = each.select("*", (F.col("pos") + 1).alias("line_no"), F.col("x.ls").alias("line"), F.col("x.feats").alias("f")).filter((F.col("f.page_form") | F.col("f.may")) & (F.col("n_lines") > 1))
+    each = two.select("ocr_id", F.size("ls").alias("n_lines"), "first", "second", "unit_key", "w_source", "w_unit", "w_paper", "page", F.posexplode("feats").alias("pos", "f"))
+    lines = each.select("*", (F.col("pos") + 1).alias("line_no"), F.col("f.line").alias("line")).filter((F.col("f.page_form") | F.col("f.may")) & (F.col("n_lines") > 1))
     bare = F.trim(F.col("line")).rlike(r"^\p{Nd}{1,4}$")
     number = F.translate(F.trim(F.col("line")), "०१२३४५६७८९০১২৩৪৫৬৭৮৯௦௧௨௩௪௫௬௭௮௯", "0123456789" * 3).try_cast("int")
     pageno = F.col("f.page_form") & (~bare | F.col("page").isNull() | (number == F.col("page")) | (F.col("line_no") < F.col("n_lines")))
-    form = F.when(F.col("f.may"), _form(F.col("line"), F.col("source"), F.col("unit_key"), F.col("paper")))
+    form = F.when(F.col("f.may"), _form(F.col("f.words"), [(F.col("w_source"), " S "), (F.col("w_unit"), " S "), (F.col("w_paper"), " P ")]))
     beside = F.when(F.col("f.hash") == F.col("first"), F.col("second")).otherwise(F.col("first"))
     marked = cut(lines.select("ocr_id", "line_no", "unit_key", pageno.alias("pageno"), form.alias("form"), beside.alias("beside")).filter("pageno OR form IS NOT NULL"), "marked")
     may = marked.filter("NOT pageno AND form IS NOT NULL")
@@ -272,10 +274,11 @@ def noise(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> Data
 
 
 def plain_text(df: DataFrame, row_id: str = "ocr_id", text: str = "question") -> DataFrame:
-    """(ocr_id, text): each text without the lines of the page and with broken words joined; line feeds between its lines stay."""
+    """(ocr_id, text): each text without the lines of the page and with broken words joined; line feeds between its lines stay. A text of page
+    lines only is empty; no filter on it here, which would be pushed below and have the lines looked at twice."""
     c = content(df, cut(line_kinds(df, row_id, text), "kinds"), row_id, text)
     piece = lambda e: F.when(e["broken"], F.regexp_replace(e["line"], "[" + HYPHENS + "]$", "")).otherwise(F.concat(e["line"], F.lit("\n")))
-    return c.filter(F.size("c") > 0).select("ocr_id", F.array_join(F.transform("c", piece), "").alias("text"))
+    return c.select("ocr_id", F.array_join(F.transform("c", piece), "").alias("text"))
 
 
 def _apply(line: Column, fixes: Column) -> Column:
