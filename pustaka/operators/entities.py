@@ -32,10 +32,14 @@ def collisions(new: DataFrame, known: DataFrame) -> DataFrame:
     return j.select(*new.columns, F.when(F.col("seen").isNull(), "new").when(same, "same").when(stated, "clash").otherwise("open").alias("outcome"))
 
 
-def clusters(urls: DataFrame) -> DataFrame:
-    """(url, cluster): copies of one test by the numbers their publisher puts before the name; any other is a cluster of its own."""
-    number = F.regexp_extract("url", r"/(\d{4}/\d{5})_", 1)
-    return urls.select("url", F.when(number != "", F.concat(T.url_host(F.col("url")), F.lit(":"), number)).otherwise(F.concat(F.lit("SINGLETON:"), F.substring(F.sha1("url"), 1, 12))).alias("cluster"))
+#: How publishers number their tests in an address, tried in this order; what is captured is the test. Fixed values.
+TEST_NUMBERS = (r"/(\d{4}/\d{5})_", r"/link/(\d{6,})_", r"/ocr/(\d{6,})_", r"/compiled/([a-z0-9_]+)\.pdf")
+
+
+def clusters(urls: DataFrame, patterns: tuple[str, ...] = TEST_NUMBERS[:1]) -> DataFrame:
+    """(url, cluster): copies of one test by the numbers their publisher puts in the address, under the first pattern that fits; any other is a cluster of its own."""
+    number = F.coalesce(*[F.nullif(F.regexp_extract("url", p, 1), F.lit("")) for p in patterns])
+    return urls.select("url", F.when(number.isNotNull(), F.concat(T.url_host(F.col("url")), F.lit(":"), number)).otherwise(F.concat(F.lit("SINGLETON:"), F.substring(F.sha1("url"), 1, 12))).alias("cluster"))
 
 
 def representatives(c: DataFrame) -> DataFrame:

@@ -163,6 +163,14 @@ def redo_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redo.join(c, "url", "left").join(rep, "cluster", "left").select(F.coalesce("representative", "url").alias("url")).distinct()
 
 
+def publisher_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per publisher the addresses of all lists, the tests they are of, how many of these have several, and how far that shortens the work."""
+    lists = [read(spark, sf_dir, t).select(T.url_base(F.col("url")).alias("url")) for t in ("submissions", "link_copies", "ocr_questions")]
+    c = E.clusters(lists[0].union(lists[1]).union(lists[2]).filter("url <> ''").distinct(), E.TEST_NUMBERS)
+    g = c.groupBy(T.url_host(F.col("url")).alias("host"), "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("host").agg(F.sum("n").alias("n_urls"), F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.startswith("cluster", F.lit("SINGLETON:"))).alias("n_single"), F.round(1 - F.count(F.lit(1)) / F.sum("n"), 6).alias("saved"))
+
+
 def cluster_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned questions of booklets that are not flagged, by booklet; one with a salvaged question is."""
     q = read(spark, sf_dir, "ocr_questions").filter("unit_key IS NOT NULL")
@@ -222,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         due_links, issue_actions, release_reasons, stored_usage, url_substitution, link_resolve, capture_latest, corpus_union, work_corpus, optional_admission, link_conflicts, source_union,
-        positional_outcomes, redo_representatives, cluster_records, optional_merge, copies_with_slugs, refs_resolved, interview_texts, work_list, routed_upsert,
+        positional_outcomes, redo_representatives, publisher_clusters, cluster_records, optional_merge, copies_with_slugs, refs_resolved, interview_texts, work_list, routed_upsert,
     )
 }
 
@@ -272,6 +280,9 @@ SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN c.nb IS NULL THEN 'no new'
     "redo_representatives": rf"""WITH u AS (SELECT DISTINCT {S.base("url")} AS url FROM submissions WHERE {S.base("url")} <> ''), k AS (SELECT url, regexp_extract(url, '/(\d{{4}}/\d{{5}})_', 1) AS k FROM u),
 c AS (SELECT url, CASE WHEN k <> '' THEN {S.host("url")} || ':' || k ELSE 'SINGLETON:' || url END AS cluster FROM k), r AS (SELECT cluster, arg_min(url, (NOT regexp_matches(url, '_gs[1-4]'), length(url), url)) AS representative FROM c GROUP BY 1)
 SELECT DISTINCT representative AS url FROM (SELECT DISTINCT {S.base("url")} AS url FROM submissions WHERE prov = 'ocr' AND {S.base("url")} <> '') JOIN c USING (url) JOIN r USING (cluster)""",
+    "publisher_clusters": rf"""WITH u AS (SELECT DISTINCT {S.base("url")} AS url FROM (SELECT url FROM submissions UNION ALL SELECT url FROM link_copies UNION ALL SELECT url FROM ocr_questions) WHERE {S.base("url")} <> ''),
+k AS (SELECT url, {S.host("url")} AS host, coalesce(nullif(regexp_extract(url, '/(\d{{4}}/\d{{5}})_', 1), ''), nullif(regexp_extract(url, '/link/(\d{{6,}})_', 1), ''), nullif(regexp_extract(url, '/ocr/(\d{{6,}})_', 1), ''), nullif(regexp_extract(url, '/compiled/([a-z0-9_]+)\.pdf', 1), '')) AS k FROM u),
+g AS (SELECT host, coalesce(k, url) AS c, k IS NULL AS single, count(*) AS n FROM k GROUP BY ALL) SELECT host, sum(n)::BIGINT AS n_urls, count(*) AS n_clusters, count(*) FILTER (single) AS n_single, round(1 - count(*) / sum(n), 6) AS saved FROM g GROUP BY 1""",
     "cluster_records": """SELECT unit_key, count(*) AS n, min(page) AS first_page FROM ocr_questions WHERE unit_key IS NOT NULL AND url IS NOT NULL AND unit_key NOT IN (SELECT unit_key FROM ocr_questions WHERE salvaged AND unit_key IS NOT NULL) GROUP BY 1""",
     "optional_merge": f"""WITH b AS (SELECT unit_key, {_SHORT64} AS key, arg_min(coalesce(salvaged, false), (coalesce(salvaged, false), ocr_id)) AS added FROM ocr_questions WHERE unit_key IS NOT NULL GROUP BY 1, 2)
 SELECT unit_key, count(*) FILTER (NOT added) AS n_prior, count(*) FILTER (added) AS n_added FROM b WHERE key <> '' GROUP BY 1""",

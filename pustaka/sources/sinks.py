@@ -75,3 +75,20 @@ def read_map(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame
     whole = spark.read.text(path, wholetext=True)
     m = F.from_json("value", f"MAP<STRING, STRUCT<{', '.join(c.strip().replace(' ', ': ', 1) for c in schema.split(', '))}>>")
     return whole.select(F.explode(m).alias(key, "v")).filter(~F.startswith(key, F.lit("_"))).select(key, "v.*")
+
+
+def write_dataset(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Writes each table as CSV and as JSON in folders of its name, and gives the manifest: (name, form, n_rows, n_files, n_bytes, sha256), the
+    rows being those that are read again."""
+    from pustaka.sources.loaders import digests
+
+    out = None
+    for name, df in tables.items():
+        for form in ("csv", "json"):
+            at = f"{path}/{name}.{form}"
+            options = {"header": True, "quote": '"', "escape": '"'} if form == "csv" else {}
+            df.write.format(form).options(**options).save(at)
+            back = spark.read.format(form).options(**options, multiLine=form == "csv").schema(df.schema).load(at)
+            one = digests(spark, at).crossJoin(back.agg(F.count(F.lit(1)).alias("n_rows"))).select(F.lit(name).alias("name"), F.lit(form).alias("form"), "n_rows", "n_files", "n_bytes", "sha256")
+            out = one if out is None else out.union(one)
+    return out
