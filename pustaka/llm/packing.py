@@ -23,6 +23,8 @@ from pustaka.session import cut
 
 #: Pieces in a block on average, islands of a block, rounds with migration between them, packings of an island, generations of a round.
 BLOCK, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 600, 2, 2, 4, 20
+#: Generations without a better packing after which an island rests.
+STALL = 5
 #: Bins filled to less than this share are taken apart once.
 POOR = 0.98
 #: More capacities than this are refused, as each document is packed once for each.
@@ -144,7 +146,8 @@ def _start(size: list[int], capacity: int, rng: random.Random) -> Packing:
 
 
 def evolve(size: list[int], capacity: int, elites: list[Packing], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing of an island after some generations. It ends at once when no packing can have fewer bins."""
+    """The best packing of an island after some generations. It ends when no packing can have fewer bins, or after STALL generations
+    in which the best one stayed as it was."""
     rng = random.Random(seed)
     least = -(-sum(size) // capacity)
     pop = [[list(b) for b in e] for e in elites] or [best_fit([], list(range(len(size))), size, capacity)]
@@ -153,8 +156,9 @@ def evolve(size: list[int], capacity: int, elites: list[Packing], seed: int, gen
     while len(pop) < population:
         pop.append(_start(size, capacity, rng))
     score = [fitness(p, size, capacity) for p in pop]
+    best, still = max(score), 0
     for _ in range(generations):
-        if max(score)[0] >= -least:
+        if best[0] >= -least or still == STALL:
             break
         order = sorted(range(len(pop)), key=lambda k: score[k], reverse=True)
         a, b = order[0], order[rng.randrange(1, len(order))]
@@ -163,6 +167,7 @@ def evolve(size: list[int], capacity: int, elites: list[Packing], seed: int, gen
             worst = min(range(len(pop)), key=lambda k: score[k])
             if f > score[worst] and f not in score:
                 pop[worst], score[worst] = child, f
+        best, still = max(score), 0 if max(score) > best else still + 1
     return pop[max(range(len(pop)), key=lambda k: score[k])]
 
 
