@@ -350,3 +350,31 @@ def test_everything_merged_keeps_marks_years_and_copies(spark):
     # the third lies in the fourth; that shares a copy with the first, and so is not merged into it
     assert got[("question", t)] == (2, 1, 2, "10", "", "2019,2020")
     assert got[("question", f"{t} in coastal districts and beyond")] == (2, 2, 2, "15", "150", "2021")
+
+
+def test_close_words_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice(["ka", "bho", "ri", "zu", "the"]) for _ in range(rng.randrange(1, 6))) for _ in range(60)}
+    for w in sorted(words):
+        for _ in range(4):
+            k, x = rng.randrange(len(w)), w
+            for _ in range(rng.choice((1, 2))):
+                k = rng.randrange(len(x) + 1)
+                x = rng.choice((x[:k] + x[k + 1 :], x[:k] + "aé"[k % 2] + x[k:], x[:k] + "o" + x[k + 1 :]))
+            words.add(x or "a")
+    df = spark.createDataFrame([("p", w) for w in words], "paper string, word string")
+    got = {(r["word"], r["as"]) for r in D.close_words(df, df).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and D._close(a, b)}
+
+
+def test_candidates_do_not_grow_with_the_common_words(spark):
+    """Texts on one pattern that differ in their rare words are no candidates, and a pair all of whose rare words are misspelt is one."""
+    rng = random.Random(9)
+    frame = "government should review policy impact across districts where farmers joined after reform".split()
+    rare = lambda: ["".join(rng.choice("bdghklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(4)]
+    rows = [" ".join(frame + rare()) for _ in range(200)]
+    a = rare()
+    b = [w[:2] + w[3:-1] + "y" + w[-1] for w in a]
+    a, b = " ".join(frame + a), " ".join(frame + b)
+    got = D.near_candidates(spark.createDataFrame([("GS1", x) for x in [*rows, a, b]], "paper string, norm string")).collect()
+    assert (min(a, b), max(a, b)) in {(r["a"], r["b"]) for r in got} and len(got) < 2000
