@@ -28,6 +28,8 @@ CAPTIONS = r"(?i)(?:\s|_)*(?:[(\[]?\s*(?:rank|air)\s*[-#:]?\s*\d+\s*[)\]]?|upsc\
 NOBODY = ("", "unknown", "n/a", "na", "nil", "none", "-")
 #: The least similarity of the q-gram sets of two spellings of a token, and of two names.
 TOKEN_SIM, NAME_SIM = 0.33, 0.62
+#: The least similarity of two spellings of one token.
+SPELT = 0.92
 #: Tokens of more q-grams than this are joined on single q-grams.
 LONG_TOKEN = 48
 #: Tokens of at most so many letters are compared by what is left when one letter is taken out, as one edit breaks most of their q-grams.
@@ -177,19 +179,25 @@ def token_sim(a: str, b: str) -> float:
 def name_sim(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
     """The share of the weight of two names that finds its partner in the other, tokens paired best first.
 
-    Tokens left over on both sides mean two persons; what is left over on one side is a part that the other leaves out.
+    Tokens left over on both sides mean two persons; what is left over on one side is a part that the other leaves out. Initials and
+    short forms alone name nobody: of a name all of whose tokens are paired, one of the rare ones is in the other, as it is or misspelt.
     """
     pairs = sorted(((token_sim(x, y), min(wa[i], wb[j]), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     ua, ub, got = set(), set(), 0.0
+    rare_a, rare_b = (PREFIX * max((w for t, w in zip(x, wx, strict=True) if len(t) > 1), default=math.inf) for x, wx in ((a, wa), (b, wb)))
+    held_a = held_b = False
     for s, _, i, j in pairs:
         if s > 0 and i not in ua and j not in ub:
             ua.add(i)
             ub.add(j)
+            if s >= SPELT and len(a[i]) > 1 and len(b[j]) > 1:
+                held_a, held_b = held_a or wa[i] >= rare_a, held_b or wb[j] >= rare_b
             got += s * (min(wa[i], wb[j]) if len(a[i]) == 1 or len(b[j]) == 1 else max(wa[i], wb[j]))
     left = [wa[i] for i in range(len(a)) if i not in ua]
     right = [wb[j] for j in range(len(b)) if j not in ub]
     whole = got + 0.5 * sum(left + right)
-    return 0.0 if (left and right) or not whole else got / whole
+    held = (held_a and not left) or (held_b and not right)
+    return got / whole if whole and held else 0.0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,35 +226,51 @@ def _pairs_of_keys(keyed: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
     return a.join(b, ["key", "x", "y"]).filter((F.col("ca") < F.col("cb")) & ((F.col("x") == F.col("y")) | (F.col("oa") != F.col("ob")))).select("ca", "cb").distinct()
 
 
+def _asked_pairs(asks: DataFrame, holds: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
+    """(ca, cb), ca < cb: the classes of which one asks for a key that the other holds. Those that hold a common key are dealt into blocks."""
+    many = holds.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block).select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    dealt = lambda k: k.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = dealt(asks).select("key", F.col("cid").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    y = dealt(holds).select("key", F.col("cid").alias("y"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("at"))
+    return x.join(y, ["key", "at"]).filter("x <> y").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
+
+
 def links(cls: DataFrame) -> DataFrame:
-    """(ca, cb, sim), ca < cb: the classes of names of a soft similarity of NAME_SIM or more."""
+    """(ca, cb, sim), ca < cb: the classes of names of a soft similarity of NAME_SIM or more.
+
+    Of two such names one has all its tokens paired, a rare one with a spelling of it. So it asks for each spelling of its rare tokens, with the
+    first letter of a spelling of another token, and every name holds all its tokens with the first letters of the others.
+    """
     tok = cls.select("cid", F.posexplode("tokens").alias("pos", "token"))
     df = cut(tok.filter(F.length("token") > 1).groupBy("token").agg(F.count_distinct("cid").alias("c")), "tokens")
     sim = cut(similar_tokens(df.select("token")), "similar")
     both = sim.select(F.col("ta").alias("token"), F.col("tb").alias("as")).union(sim.select(F.col("tb").alias("token"), F.col("ta").alias("as")))
-    scored = both.join(df.select(F.col("token").alias("as"), F.col("c").alias("ac")), "as").join(df, "token")
-    # a token may stand for a spelling of as many names or more, however many they are; the rest of the name decides
-    spelt = scored.filter(F.col("ac") >= F.col("c"))
-    known = df.join(spelt.groupBy("token").agg(F.max("ac").alias("most"), F.collect_list("as").alias("spellings")), "token", "left")
+    scored = both.join(df.select(F.col("token").alias("as"), F.col("c").alias("ac")), "as")
+    known = df.join(scored.groupBy("token").agg(F.max("ac").alias("most"), F.collect_list("as").alias("spellings")), "token", "left")
+    # a token weighs as much as its most frequent spelling
     known = known.select("token", F.greatest("c", F.coalesce("most", F.lit(0))).alias("c"), F.concat(F.array("token"), F.coalesce("spellings", F.array().cast("array<string>"))).alias("spellings"))
     total = cls.count()
     weighted = (
         tok.join(known, "token", "left")
         .withColumn("w", F.when(F.length("token") > 1, F.log(F.lit(float(total + 1)) / F.coalesce("c", F.lit(1)))).otherwise(F.lit(1.0)))
+        .withColumn("letters", F.array_distinct(F.transform(F.coalesce("spellings", F.array("token")), lambda x: x.substr(1, 1))))
         .groupBy("cid")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token", "w", "spellings"))).alias("l"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "token", "w", "spellings", "letters"))).alias("l"))
     )
-    # the tokens that are not much more frequent than the rarest are the prefix; all others together weigh too little
-    ranked = weighted.withColumn("top", F.array_max(F.transform("l", lambda x: x["w"])))
-    prefix = F.filter("l", lambda x: (x["w"] >= PREFIX * F.col("top")) & (F.length(x["token"]) > 1))
-    rows = ranked.select("cid", F.expr("transform(l, x -> x.token)").alias("t"), F.expr("transform(l, x -> x.w)").alias("w"), F.explode(prefix).alias("p"))
-    rest = F.array_distinct(F.transform(F.filter(F.col("t"), lambda y, i: i != F.col("p.pos")), lambda y: y.substr(1, 1)))
-    rows = rows.withColumn("initial", F.explode(F.when(F.size(rest) > 0, rest).otherwise(F.array(F.lit(""))))).withColumn("spelling", F.explode("p.spellings"))
-    keyed = cut(rows.select(F.xxhash64("spelling", "initial").alias("key"), "cid", "t", "w").distinct(), "keyed")
-    cand = _pairs_of_keys(keyed.select("key", "cid").distinct())
-    own = keyed.groupBy("cid").agg(F.first("t").alias("t"), F.first("w").alias("w"))
-    full = cand.join(own.select(F.col("cid").alias("ca"), F.col("t").alias("ta"), F.col("w").alias("wa")), "ca").join(own.select(F.col("cid").alias("cb"), F.col("t").alias("tb"), F.col("w").alias("wb")), "cb")
-    return full.mapInArrow(_verify, "ca long, cb long, sim double").filter(F.col("sim") >= NAME_SIM)
+    own = cut(weighted.select("cid", F.expr("transform(l, x -> x.token)").alias("t"), F.expr("transform(l, x -> x.w)").alias("w"), "l"), "weighted")
+    full = lambda x: F.length(x["token"]) > 1
+    top = F.array_max(F.transform(F.filter("l", full), lambda x: x["w"]))
+    first = lambda letters: F.explode(F.when(F.size("l") > 1, F.array_distinct(letters)).otherwise(F.array(F.lit(""))))
+    asks = own.withColumn("top", top).select("cid", "l", F.explode(F.filter("l", lambda x: full(x) & (x["w"] >= PREFIX * F.col("top")))).alias("p"))
+    # any one of the others is paired too
+    one = F.element_at(F.filter("l", lambda x: x["pos"] != F.col("p.pos")), 1)["letters"]
+    asks = asks.withColumn("letter", first(one)).withColumn("spelling", F.explode("p.spellings")).select(F.xxhash64("spelling", "letter").alias("key"), "cid").distinct()
+    holds = own.select("cid", "l", F.explode(F.filter("l", full)).alias("p"))
+    rest = F.array_distinct(F.concat(F.transform(F.filter("l", lambda x: x["pos"] != F.col("p.pos")), lambda x: x["token"].substr(1, 1)), F.array(F.lit(""))))
+    holds = holds.withColumn("letter", F.explode(rest)).select(F.xxhash64("p.token", "letter").alias("key"), "cid").distinct()
+    cand = _asked_pairs(asks, holds)
+    pairs = cand.join(own.select(F.col("cid").alias("ca"), F.col("t").alias("ta"), F.col("w").alias("wa")), "ca").join(own.select(F.col("cid").alias("cb"), F.col("t").alias("tb"), F.col("w").alias("wb")), "cb")
+    return pairs.mapInArrow(_verify, "ca long, cb long, sim double").filter(F.col("sim") >= NAME_SIM)
 
 
 def followed(hub: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
-from pustaka.llm.names import _edit1, _pairs_of_keys, followed, name_pairs, persons, similar_tokens
+from pustaka.llm.names import NAME_SIM, _edit1, _pairs_of_keys, followed, links, name_pairs, name_sim, persons, similar_tokens
 
 FIRST = ["Chandrika", "Amarnath", "Gurpreet", "Vasundhara", "Balachandra", "Nirmala"]
 SYL = ["bha", "ko", "zu", "ri", "the", "mo", "ghi", "pa", "shu", "ve", "lo", "ji", "dhe", "na"]
@@ -89,3 +90,23 @@ def test_blocks_of_a_common_key_give_all_pairs(spark):
     got = [(r["ca"], r["cb"]) for r in _pairs_of_keys(spark.createDataFrame(rows, "key long, cid long"), block=10).collect()]
     want = {(a, b) for b in range(57) for a in range(b)} | {(a, b) for b in range(50, 60) for a in range(50, b)}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_links_against_all_pairs(spark):
+    """A first letter misread in a common name, or a rare part that one name leaves out, loses no link."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.sample(SYL, n))
+    firsts = ["amarnath", "gurpreet", "nirmala"]
+    names = {tuple(sorted((rng.choice(firsts), word(4)))) for _ in range(150)}
+    names |= {("bmarnath", "qazthimbore"), ("amarnath", "qazthimbore"), ("gurpreet", "nirmala"), tuple(sorted(("gurpreet", "nirmala", "zukoribha"))), ("j", "thepashu"), tuple(sorted(("jilomori", "t")))}
+    names = sorted(names)
+    rows = [(i, list(n)) for i, n in enumerate(names)]
+    got = {(r["ca"], r["cb"]): r["sim"] for r in links(spark.createDataFrame(rows, "cid long, tokens array<string>")).collect()}
+    count = {t: sum(t in n for n in names) for n in names for t in n}
+    alike = lambda x, y: len(x) > 3 and len(y) > 3 and _edit1(x, y)
+    most = {t: max(c for x, c in count.items() if x == t or alike(x, t)) for t in count}
+    weight = lambda n: [math.log((len(names) + 1) / most[t]) if len(t) > 1 else 1.0 for t in n]
+    want = {(i, j) for j, b in enumerate(names) for i, a in enumerate(names[:j]) if name_sim(list(a), list(b), weight(a), weight(b)) >= NAME_SIM}
+    at = {n: i for i, n in enumerate(names)}
+    assert tuple(sorted((at["amarnath", "qazthimbore"], at["bmarnath", "qazthimbore"]))) in want
+    assert set(got) == want
