@@ -378,3 +378,15 @@ def test_candidates_do_not_grow_with_the_common_words(spark):
     a, b = " ".join(frame + a), " ".join(frame + b)
     got = D.near_candidates(spark.createDataFrame([("GS1", x) for x in [*rows, a, b]], "paper string, norm string")).collect()
     assert (min(a, b), max(a, b)) in {(r["a"], r["b"]) for r in got} and len(got) < 2000
+
+
+def test_word_candidates_shuffle_no_pairs(spark):
+    """Blocks of texts give all pairs, and the plan groups no pairs."""
+    rng = random.Random(4)
+    texts = sorted({" ".join(rng.sample(["alpha", "bravo", "delta", "gamma", "kappa", "sigma", "theta", "omega", "zulu"], rng.randrange(5, 8)) + [f"tail{i % 7}x"]) for i in range(60)})
+    df = spark.createDataFrame([("GS1", t) for t in texts], "paper string, norm string")
+    got = D.word_candidates(df, block=9)
+    share = lambda a, b: len(set(a.split()) & set(b.split()))
+    want = {("GS1", a, b, share(a, b)) for i, a in enumerate(texts) for b in texts[i + 1 :] if 10 * share(a, b) >= 3 * min(len(a.split()), len(b.split()))}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
