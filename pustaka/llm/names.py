@@ -42,6 +42,12 @@ KEY_BLOCK = 500
 MOST_ROUNDS = 60
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """A table that grows with the names, for a join that must broadcast neither side: of what comes out of explode or mapInArrow Spark expects
+    a small part, and would send all of it through the driver."""
+    return df.hint("merge")
+
+
 def name_tokens(c: Column) -> Column:
     """The lower-case tokens of a name: words split at spaces, marks and changes of case, without titles and captions."""
     x = F.regexp_replace(F.regexp_replace(F.trim(c), CAPTIONS, ""), CAPTIONS, "")
@@ -115,7 +121,7 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     df = g.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
     ordered = (
         g.select("token", F.explode("grams").alias("gram"))
-        .join(df, "gram")
+        .join(_whole(df), "gram")
         .groupBy("token")
         .agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("l"))
         .select("token", F.expr("transform(l, x -> x.gram)").alias("grams"))
@@ -123,12 +129,12 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     keys = ordered.mapInArrow(_prefix_keys, "key string, token string").select(F.xxhash64("key").alias("key"), "token")
     a, b = keys.select("key", F.col("token").alias("ta")), keys.select("key", F.col("token").alias("tb"))
     near = (F.levenshtein("ta", "tb", 2) >= 0) & (F.abs(F.length("ta") - F.length("tb")) <= 1)
-    pairs = a.join(b, "key").filter("ta < tb").filter(near).select("ta", "tb").distinct()
+    pairs = a.join(_whole(b), "key").filter("ta < tb").filter(near).select("ta", "tb").distinct()
     short = tokens.select("token").distinct().filter(F.length("token") <= SHORT_TOKEN)
     left = short.select("token", F.explode(F.array_distinct(F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.overlay(F.col("token"), F.lit(""), i, F.lit(1)))))).alias("key"))
-    pairs = pairs.union(left.withColumnRenamed("token", "ta").join(left.withColumnRenamed("token", "tb"), "key").filter("ta < tb").select("ta", "tb"))
+    pairs = pairs.union(left.withColumnRenamed("token", "ta").join(_whole(left.withColumnRenamed("token", "tb")), "key").filter("ta < tb").select("ta", "tb"))
     heard = tokens.select("token").distinct().filter(F.length("token") > 3).withColumn("key", sound(F.col("token")))
-    alike = heard.withColumnRenamed("token", "ta").join(heard.withColumnRenamed("token", "tb"), "key").filter("ta < tb").select("ta", "tb")
+    alike = heard.withColumnRenamed("token", "ta").join(_whole(heard.withColumnRenamed("token", "tb")), "key").filter("ta < tb").select("ta", "tb")
     return pairs.mapInArrow(_one_edit, "ta string, tb string").union(alike).distinct()
 
 
@@ -223,7 +229,7 @@ def _pairs_of_keys(keyed: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
     meets = k.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "cid", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     a, b = meets.withColumnsRenamed({"cid": "ca", "own": "oa"}), meets.withColumnsRenamed({"cid": "cb", "own": "ob"})
     # within a block all pairs, across two blocks those of one from each
-    return a.join(b, ["key", "x", "y"]).filter((F.col("ca") < F.col("cb")) & ((F.col("x") == F.col("y")) | (F.col("oa") != F.col("ob")))).select("ca", "cb").distinct()
+    return a.join(_whole(b), ["key", "x", "y"]).filter((F.col("ca") < F.col("cb")) & ((F.col("x") == F.col("y")) | (F.col("oa") != F.col("ob")))).select("ca", "cb").distinct()
 
 
 def _asked_pairs(asks: DataFrame, holds: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
@@ -232,7 +238,7 @@ def _asked_pairs(asks: DataFrame, holds: DataFrame, block: int = KEY_BLOCK) -> D
     dealt = lambda k: k.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     x = dealt(asks).select("key", F.col("cid").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
     y = dealt(holds).select("key", F.col("cid").alias("y"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("at"))
-    return x.join(y, ["key", "at"]).filter("x <> y").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
+    return x.join(_whole(y), ["key", "at"]).filter("x <> y").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
 
 
 def links(cls: DataFrame) -> DataFrame:
@@ -245,13 +251,13 @@ def links(cls: DataFrame) -> DataFrame:
     df = cut(tok.filter(F.length("token") > 1).groupBy("token").agg(F.count_distinct("cid").alias("c")), "tokens")
     sim = cut(similar_tokens(df.select("token")), "similar")
     both = sim.select(F.col("ta").alias("token"), F.col("tb").alias("as")).union(sim.select(F.col("tb").alias("token"), F.col("ta").alias("as")))
-    scored = both.join(df.select(F.col("token").alias("as"), F.col("c").alias("ac")), "as")
-    known = df.join(scored.groupBy("token").agg(F.max("ac").alias("most"), F.collect_list("as").alias("spellings")), "token", "left")
+    scored = both.join(_whole(df.select(F.col("token").alias("as"), F.col("c").alias("ac"))), "as")
+    known = df.join(_whole(scored.groupBy("token").agg(F.max("ac").alias("most"), F.collect_list("as").alias("spellings"))), "token", "left")
     # a token weighs as much as its most frequent spelling
     known = known.select("token", F.greatest("c", F.coalesce("most", F.lit(0))).alias("c"), F.concat(F.array("token"), F.coalesce("spellings", F.array().cast("array<string>"))).alias("spellings"))
     total = cls.count()
     weighted = (
-        tok.join(known, "token", "left")
+        tok.join(_whole(known), "token", "left")
         .withColumn("w", F.when(F.length("token") > 1, F.log(F.lit(float(total + 1)) / F.coalesce("c", F.lit(1)))).otherwise(F.lit(1.0)))
         .withColumn("letters", F.array_distinct(F.transform(F.coalesce("spellings", F.array("token")), lambda x: x.substr(1, 1))))
         .groupBy("cid")
@@ -269,14 +275,15 @@ def links(cls: DataFrame) -> DataFrame:
     rest = F.array_distinct(F.concat(F.transform(F.filter("l", lambda x: x["pos"] != F.col("p.pos")), lambda x: x["token"].substr(1, 1)), F.array(F.lit(""))))
     holds = holds.withColumn("letter", F.explode(rest)).select(F.xxhash64("p.token", "letter").alias("key"), "cid").distinct()
     cand = _asked_pairs(asks, holds)
-    pairs = cand.join(own.select(F.col("cid").alias("ca"), F.col("t").alias("ta"), F.col("w").alias("wa")), "ca").join(own.select(F.col("cid").alias("cb"), F.col("t").alias("tb"), F.col("w").alias("wb")), "cb")
+    a, b = (own.select(F.col("cid").alias(f"c{x}"), F.col("t").alias(f"t{x}"), F.col("w").alias(f"w{x}")) for x in "ab")
+    pairs = cand.join(_whole(a), "ca").join(_whole(b), "cb")
     return pairs.mapInArrow(_verify, "ca long, cb long, sim double").filter(F.col("sim") >= NAME_SIM)
 
 
 def followed(hub: DataFrame) -> DataFrame:
     """(x, hub): the end of the way that starts at each x and goes from hub to hub. A hub that is its own ends it; there is no circle."""
     for _ in range(MOST_ROUNDS):
-        up = cut(hub.join(hub.select(F.col("x").alias("hub"), F.col("hub").alias("up")), "hub"), "hubs")
+        up = cut(hub.join(_whole(hub.select(F.col("x").alias("hub"), F.col("hub").alias("up"))), "hub"), "hubs")
         hub = up.select("x", F.col("up").alias("hub"))
         if up.filter("up <> hub").limit(1).count() == 0:
             return hub
@@ -294,14 +301,14 @@ def persons(df: DataFrame, name: str = "topper") -> DataFrame:
     found = cut(links(cls), "links")
     size = cls.select("cid", F.struct(F.when(F.exists("tokens", lambda t: F.length(t) == 1) | (F.size("tokens") < 2), F.lit(0)).otherwise(F.lit(1)).alias("full"), "n", "cid").alias("rank"))
     both = found.select(F.col("ca").alias("x"), F.col("cb").alias("cid")).union(found.select(F.col("cb").alias("x"), F.col("ca").alias("cid"))).union(cls.select(F.col("cid").alias("x"), "cid"))
-    hub = cut(both.join(size, "cid").groupBy("x").agg(F.max_by("cid", "rank").alias("hub")), "hubs")
+    hub = cut(both.join(_whole(size), "cid").groupBy("x").agg(F.max_by("cid", "rank").alias("hub")), "hubs")
     hub = followed(hub)
-    placed = names.join(hub.withColumnRenamed("x", "cid"), "cid")
+    placed = names.join(_whole(hub.withColumnRenamed("x", "cid")), "cid")
     title = placed.groupBy("hub").agg(F.max_by("name", F.struct((F.col("cid") == F.col("hub")).alias("own"), "n", "name")).alias("person"))
-    return placed.join(title, "hub").select("name", "person", "n")
+    return placed.join(_whole(title), "hub").select("name", "person", "n")
 
 
 def name_pairs(df: DataFrame, name: str = "topper") -> DataFrame:
     """(a, b), a < b by code points: two different names, as stored, that mean one person."""
     p = cut(persons(df, name), "persons").select("name", "person")
-    return p.withColumnRenamed("name", "a").join(p.withColumnRenamed("name", "b"), "person").filter("a < b").select("a", "b")
+    return p.withColumnRenamed("name", "a").join(_whole(p.withColumnRenamed("name", "b")), "person").filter("a < b").select("a", "b")

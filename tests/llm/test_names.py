@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
+from pustaka.llm import names as module
 from pustaka.llm.names import NAME_SIM, _edit1, _pairs_of_keys, followed, links, name_pairs, name_sim, persons, similar_tokens
 
 FIRST = ["Chandrika", "Amarnath", "Gurpreet", "Vasundhara", "Balachandra", "Nirmala"]
@@ -110,3 +112,19 @@ def test_links_against_all_pairs(spark):
     at = {n: i for i, n in enumerate(names)}
     assert tuple(sorted((at["amarnath", "qazthimbore"], at["bmarnath", "qazthimbore"]))) in want
     assert set(got) == want
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Only the list of common keys may be: Spark expects far too few rows of the others, and 4,000,000 submissions filled the driver's memory."""
+    plans, cut = [], module.cut
+
+    def seen(df, *name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *name)
+
+    monkeypatch.setattr(module, "cut", seen)
+    df = spark.createDataFrame([(n,) for n in ("Amarnath Qazthimbore", "AMARNATH QAZTHIMBORE", "A. Qazthimbore", "Nirmala Wexpolandri")], "topper string")
+    seen(name_pairs(df)).count()
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x]
+    assert len(joins) > 10
+    assert not [x for x in joins if "Broadcast" in x and not re.search(r"\[key#\d+L?\], \[key#\d+L?\], LeftOuter", x)]
