@@ -390,3 +390,29 @@ def test_word_candidates_shuffle_no_pairs(spark):
     want = {("GS1", a, b, share(a, b)) for i, a in enumerate(texts) for b in texts[i + 1 :] if 10 * share(a, b) >= 3 * min(len(a.split()), len(b.split()))}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def _joins_of(monkeypatch, run) -> list[str]:
+    """The joins of the plans that `run` cuts and returns."""
+    from pustaka.operators import components as K
+
+    plans, cut = [], D.cut
+
+    def seen(df, *name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *name)
+
+    for module in (D, K):
+        monkeypatch.setattr(module, "cut", seen)
+    seen(run()).count()
+    return [x for p in plans for x in p.splitlines() if "Join" in x]
+
+
+MISSPELT = "the canal roads of northern vidhana reshaped farming markets and village credit for landless weavers"
+
+
+def test_near_merge_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Probes for close words were gathered in the driver, as Spark expects far too few rows behind explode."""
+    rows = [("GS1", MISSPELT, 2), ("GS1", MISSPELT.replace("northern", "nothern"), 1)]
+    joins = _joins_of(monkeypatch, lambda: D.near_merged(spark.createDataFrame(rows, "paper string, norm string, n_refs long"), spark.createDataFrame([(p, n, "u") for p, n, _ in rows[:1]], "paper string, norm string, base string")))
+    assert len(joins) > 10 and not [x for x in joins if "Broadcast" in x]
