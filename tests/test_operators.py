@@ -416,3 +416,16 @@ def test_near_merge_broadcasts_no_table_that_grows(spark, monkeypatch):
     rows = [("GS1", MISSPELT, 2), ("GS1", MISSPELT.replace("northern", "nothern"), 1)]
     joins = _joins_of(monkeypatch, lambda: D.near_merged(spark.createDataFrame(rows, "paper string, norm string, n_refs long"), spark.createDataFrame([(p, n, "u") for p, n, _ in rows[:1]], "paper string, norm string, base string")))
     assert len(joins) > 10 and not [x for x in joins if "Broadcast" in x]
+
+
+def test_a_misspelt_common_word_brings_few_candidates(spark):
+    """A text whose rarest word is a misspelt common one asks for its other rare words; its near duplicate is found all the same."""
+    rng = random.Random(3)
+    frame = "administrative review policy impact across districts where farmers joined after reform".split()
+    rare = lambda: ["".join(rng.choice("bdghklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(4)]
+    same = rare()
+    rows = [" ".join(frame + w) for w in (*(rare() for _ in range(100)), same)]
+    odd = rows[-1].replace("administrative", "administrattive")
+    got = [(r["a"], r["b"]) for r in D.near_candidates(spark.createDataFrame([("GS1", x) for x in [*rows, odd]], "paper string, norm string")).collect()]
+    assert (min(odd, rows[-1]), max(odd, rows[-1])) in got
+    assert sum(odd in p for p in got) < 10
