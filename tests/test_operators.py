@@ -429,3 +429,10 @@ def test_a_misspelt_common_word_brings_few_candidates(spark):
     got = [(r["a"], r["b"]) for r in D.near_candidates(spark.createDataFrame([("GS1", x) for x in [*rows, odd]], "paper string, norm string")).collect()]
     assert (min(odd, rows[-1]), max(odd, rows[-1])) in got
     assert sum(odd in p for p in got) < 10
+
+
+def test_everything_merged_broadcasts_no_table_that_grows(spark, monkeypatch):
+    rows = [(1, MISSPELT, "", "", "GS1", "u1", "question", 2019), (2, MISSPELT.replace("northern", "nothern"), "", "", "GS1", "u2", "question", 2020)]
+    df = spark.createDataFrame(rows, "ord long, question string, marks string, words string, paper string, base string, kind string, year int")
+    joins = _joins_of(monkeypatch, lambda: D.all_merged(df))
+    assert len(joins) > 10 and not [x for x in joins if "Broadcast" in x]
