@@ -431,6 +431,13 @@ def test_a_misspelt_common_word_brings_few_candidates(spark):
     assert sum(odd in p for p in got) < 10
 
 
+def test_word_candidates_shuffle_no_blocks(spark):
+    """Blocks that meet are read again, as their shuffle grew as the square of a paper's texts."""
+    df = spark.createDataFrame([("GS1", MISSPELT), ("GS1", f"{MISSPELT} again")], "paper string, norm string")
+    plan = D.word_candidates(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
 def test_everything_merged_broadcasts_no_table_that_grows(spark, monkeypatch):
     rows = [(1, MISSPELT, "", "", "GS1", "u1", "question", 2019), (2, MISSPELT.replace("northern", "nothern"), "", "", "GS1", "u2", "question", 2020)]
     df = spark.createDataFrame(rows, "ord long, question string, marks string, words string, paper string, base string, kind string, year int")
