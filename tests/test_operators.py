@@ -443,3 +443,12 @@ def test_everything_merged_broadcasts_no_table_that_grows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "ord long, question string, marks string, words string, paper string, base string, kind string, year int")
     joins = _joins_of(monkeypatch, lambda: D.all_merged(df))
     assert len(joins) > 10 and not [x for x in joins if "Broadcast" in x]
+
+
+def test_refs_conserved_near_broadcasts_no_table_that_grows(spark, monkeypatch):
+    from conftest import DATA
+
+    from pustaka.plans import dedupe as P
+
+    joins = _joins_of(monkeypatch, lambda: P.refs_conserved_near(spark, DATA))
+    assert len(joins) > 10 and not [x for x in joins if "Broadcast" in x]
